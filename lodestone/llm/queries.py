@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .decontam import op9_decontamination
+from .licenses import op1_licenses
+from .quality_rules import op4_quality_rules
 from .secrets import op7_secrets
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": op1_licenses,
+        "op4_quality_rules": op4_quality_rules,
         "op6_bpe": op6_bpe,
         "op7_secrets": op7_secrets,
         "op9_decontamination": op9_decontamination,
