@@ -51,6 +51,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of at most 8 MB, unless the session has limits of its own."""
+    for key, usual, value in (("maxBytesPerBatch", ("67108864b", "64MB", str(2**26)), "8m"), ("maxRecordsPerBatch", ("10000",), "2000")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") in usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

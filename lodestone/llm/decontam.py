@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import alnum_words, fresh
+from .common import alnum_words, fresh, small_batches
 
 WINDOW = 10
 SHINGLE = 3
@@ -160,6 +160,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     with a null id match nothing; repeated items count once; repeated document rows each get their own result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = fresh(docs, "decontamination")
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
     done = None

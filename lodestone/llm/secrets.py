@@ -7,7 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable, fresh
+from .common import durable, fresh, small_batches
 
 #: The base rules, in the order of their kinds. (kind, pattern, group whose length counts, least length)
 BASE_RULES = (
@@ -43,8 +43,22 @@ def findings(text: str | None) -> list[tuple[str, int, int]]:
     return [(_KINDS[k], a, b) for a, k, b in sorted(found)]
 
 
-def _scan(batches):
+def _unseen(batches):
+    """Batches without the rows whose blob (first column) this task has met; the memory is 32 bytes a blob."""
+    met: set[bytes] = set()
     for batch in batches:
+        at = []
+        for k, x in enumerate(batch.column(0)):
+            blob = bytes.fromhex(x.as_py())
+            if blob not in met:
+                met.add(blob)
+                at.append(k)
+        if at:
+            yield batch.take(pa.array(at, pa.int32()))
+
+
+def _scan(batches):
+    for batch in _unseen(batches):
         got = [[{"kind": k, "start": a, "end": b} for k, a, b in findings(x.as_py())] for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, _ARROW.field(1).type)], schema=_ARROW)
 
@@ -64,8 +78,10 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, text: str = "
     new = docs.select(F.sha2(content, 256).alias("blob"), content.alias("content"))
     if ledger is not None:
         new = new.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    # copies of a content are reduced to one within each task before they are shuffled
-    new = durable(new.dropDuplicates(["blob"]).mapInArrow(_scan, f"blob string, findings {FINDINGS}").withColumn("rule_version", F.lit(version)), "ledger")
+    # copies of a content are reduced to one within each task, dealt by blob, and reduced to one again; nothing is sorted
+    small_batches(docs.sparkSession)
+    new = new.mapInArrow(_unseen, "blob string, content string").repartition("blob")
+    new = durable(new.mapInArrow(_scan, f"blob string, findings {FINDINGS}").withColumn("rule_version", F.lit(version)), "ledger")
     new = new.select("blob", "rule_version", "findings")
     whole = new if ledger is None else ledger.select("blob", "rule_version", "findings").unionByName(new)
     hits = whole.where((F.col("rule_version") == version) & (F.size("findings") > 0)).select(F.col("blob").alias(blob), F.col("findings").alias(out)).dropDuplicates([blob])
