@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .decontam import op9_decontamination
+from .jaccard import op5_jaccard
 from .licenses import op1_licenses
+from .quality_model import op10_quality_model
 from .quality_rules import op4_quality_rules
 from .secrets import op7_secrets
+from .urls import op2_urls
 
 
 def queries() -> dict:
     return {
         "op1_licenses": op1_licenses,
+        "op2_urls": op2_urls,
         "op4_quality_rules": op4_quality_rules,
+        "op5_jaccard": op5_jaccard,
         "op6_bpe": op6_bpe,
         "op7_secrets": op7_secrets,
         "op9_decontamination": op9_decontamination,
+        "op10_quality_model": op10_quality_model,
     }
 
 
