@@ -9,6 +9,7 @@ from .licenses import op1_licenses
 from .quality_model import op10_quality_model
 from .quality_rules import op4_quality_rules
 from .secrets import op7_secrets
+from .toxicity import op3_toxicity
 from .urls import op2_urls
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_licenses": op1_licenses,
         "op2_urls": op2_urls,
+        "op3_toxicity": op3_toxicity,
         "op4_quality_rules": op4_quality_rules,
         "op5_jaccard": op5_jaccard,
         "op6_bpe": op6_bpe,
