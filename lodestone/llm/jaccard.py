@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, durable, fresh, small_batches, space_words
+from .common import components, durable, small, small_batches, space_words
 
 SHINGLE = 3
 #: Two sets link when 100 * intersection >= LINK * union.
@@ -258,7 +258,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """
     found = link_documents(docs, text, key)
     gone = found.where(F.col(key) != F.col("component")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    return docs.join(small(gone, BROADCAST_IDS), F.col(key) == F.col("_gone"), "left_anti")
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:

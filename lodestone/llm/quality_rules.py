@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bind, durable, fresh
+from .common import bind, durable, fresh, small
 
 SPACE = r"[\x20\x09-\x0D]+"
 MOST_RULES = 8
@@ -193,12 +193,18 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     return _judged(scored, labels, key)
 
 
+#: So many labelled ids may be broadcast to pick the labelled documents; with more, they are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the base rules and the learned list keep, all columns as they are.
 
-    The statistics are computed once to learn the list and once in place to apply it, so that texts aren't shuffled.
+    The list is learned from the labelled rows' statistics and applied in place, so that texts aren't shuffled.
     """
-    _, rules = judge_quality(docs, labels, text, key)
+    ids = labels.where(F.col("quality").isNotNull()).select(F.col(key).alias("_k")).distinct()
+    labelled = docs.join(small(ids, BROADCAST_LABELS), F.col(key) == F.col("_k"), "left_semi")
+    _, rules = judge_quality(labelled, labels, text, key)
     rows = text_statistics(docs, text)
     stats = rows.columns[-1]
     rows = rows.withColumn(fresh(rows, "tests"), F.struct(*[c.alias(n) for n, c in ratios(F.col(stats)).items()]))

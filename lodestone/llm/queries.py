@@ -6,6 +6,7 @@ from .bpe import op6_bpe
 from .decontam import op9_decontamination
 from .jaccard import op5_jaccard
 from .licenses import op1_licenses
+from .pii import op8_pii
 from .quality_model import op10_quality_model
 from .quality_rules import op4_quality_rules
 from .secrets import op7_secrets
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_jaccard": op5_jaccard,
         "op6_bpe": op6_bpe,
         "op7_secrets": op7_secrets,
+        "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_quality_model": op10_quality_model,
     }
