@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh
+from .common import fresh, small_batches
 
 #: Distinct words whose encodings a task keeps; beyond that it starts anew, which costs time only.
 KEEP_WORDS = 300_000
@@ -48,7 +49,11 @@ class WordBpe:
         self.space = regex.compile(r"\s+")
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = regex.compile("|".join(regex.escape(x) for x in self.added)) if self.added else None
+        # texts of these characters alone are in NFC, and white space in them is what str.split() splits at
+        self.plain = re.compile("[\\t-\\r -~\u00c0-\u024f]*")
+        self.plain_split = re.compile(r"[^\W\d_]+|\d|'s|'t|'re|'ve|'m|'ll|'d|(?:[^\s\w]|_)+")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, str, str]] = {}
 
     def normal(self, text: str) -> str:
         # each character by itself is lower-cased, so that a final sigma isn't a case of its own
@@ -132,6 +137,35 @@ class WordBpe:
         known = self.known
         return [[k for w in words for k in (known[w] if isinstance(w, str) else (w,))] for words in split]
 
+    def _chunks(self, texts: list[str]) -> list[list[str] | None]:
+        """Plain texts in lower case, cut at white space, which no word crosses; None for other texts."""
+        fits = self.plain.fullmatch
+        return [t.lower().split() if fits(t) and "<|" not in t else None for t in texts]
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded text) of each text."""
+        cut = self._chunks(texts)
+        if len(self.chunks) > KEEP_WORDS:
+            self.chunks.clear()
+        new = [c for c in {c for words in cut if words for c in words} if c not in self.chunks]
+        parts = [self.plain_split.findall(c) for c in new]
+        self.learn({w for p in parts for w in p})
+        known, chunks = self.known, self.chunks
+        for c, p in zip(new, parts):
+            ids = [k for w in p for k in known[w]]
+            chunks[c] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        rest = iter(self.encode([t for t, words in zip(texts, cut) if words is None]))
+        out = []
+        for words in cut:
+            if words is None:
+                ids = next(rest)
+                n, a, b = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            else:
+                got = [chunks[c] for c in words]
+                n, a, b = sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+            out.append((n, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest()))
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as a vocabulary without a decoder is decoded."""
         return " ".join([self.tokens[k] for k in ids])
@@ -169,6 +203,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool =
     """
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids"]
     new = [fresh(docs, c) for c in new]
@@ -180,8 +215,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool =
             if digests:
                 got = []
                 for part in _runs(texts):
-                    for ids in model.encode(part):
-                        got.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()))
+                    got += model.digests(part)
                 columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
             else:
                 columns = [pa.array([x for part in _runs(texts) for x in model.encode(part)], pa.list_(pa.int32()))]
