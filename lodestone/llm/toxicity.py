@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import durable, fresh, small_batches
 
 #: Documents to learn from, at most so many of each class (those with the lowest hash): a documented bound.
-TRAINING_DOCS = 4000
+TRAINING_DOCS = 3000
 #: A token's traits are its word and its first letters of these lengths.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Traits with a weight, at most; also the bound on what is sent to the executors.
 MOST_TRAITS = 20_000
 #: Tokens of a chain; longer lines are cut into chains of this length.
 CHAIN = 64
-STEPS, RATE, DECAY = 30, 0.35, 0.02
+STEPS, RATE, DECAY = 25, 0.4, 0.02
+#: Marginals up to this one count for nothing in a document's score.
+FAINT = 0.05
 #: Words whose emissions a task keeps.
 KEEP_WORDS = 400_000
 TRIM = ".,;:!?\"'()[]{}|*#$%&<>_-+=~`^/\\"
@@ -72,20 +74,31 @@ def forward_backward(emission: np.ndarray, length: np.ndarray, trans: np.ndarray
     return np.where(live.T, marginal, 0.0), pairs, float(np.log(scale).sum())
 
 
-def _padded(rows: list[np.ndarray]):
-    """Chains grouped by length into padded matrices: (numbers, matrix, lengths)."""
-    length = np.array([len(r) for r in rows])
+def _padded(emission: np.ndarray, length: np.ndarray):
+    """Chains (one after the other in ``emission``) of like length as matrices: (matrix, lengths, places in ``emission``, mask)."""
+    start = np.cumsum(length) - length
     low = 0
     for high in (8, 16, 32, CHAIN):
         at = np.flatnonzero((length > low) & (length <= high))
         low = high
         for k in range(0, len(at), 4096):
             part = at[k : k + 4096]
-            flat = np.concatenate([rows[i] for i in part])
             mask = np.arange(high)[None, :] < length[part][:, None]
-            out = np.zeros((len(part), high))
-            out[mask] = flat
-            yield part, out, length[part], mask
+            place = np.where(mask, start[part][:, None] + np.arange(high)[None, :], 0)
+            yield np.where(mask, emission[place], 0.0), length[part], place, mask
+
+
+class _Known(dict):
+    """Emissions of words, computed when first asked for."""
+
+    def __init__(self, compute):
+        self.compute = compute
+
+    def __missing__(self, word):
+        if len(self) > KEEP_WORDS:
+            self.clear()
+        self[word] = value = self.compute(word)
+        return value
 
 
 class Crf:
@@ -93,40 +106,60 @@ class Crf:
 
     def __init__(self, weights: dict[str, float], bias: float, trans: np.ndarray, start: np.ndarray, document: np.ndarray):
         self.weights, self.bias, self.trans, self.start, self.document = weights, bias, trans, start, document
-        self.known: dict[str, float] = {}
+        self.heads = {t[: PREFIXES[0]] for t in weights}
+        self.quiet = self._quiet()
 
     def emission(self, token: str) -> float:
+        w = token.lower().strip(TRIM)
+        if w[: PREFIXES[0]] not in self.heads:
+            return self.bias
         return self.bias + sum([self.weights.get(t, 0.0) for t in traits(token)])
 
-    def marginals(self, texts: list[str | None]) -> list[list[np.ndarray]]:
-        """For each text, for each chain: the probability of each token to be toxic."""
-        known, rows, starts = self.known, [], [0]
-        if len(known) > KEEP_WORDS:
-            known.clear()
-        for text in texts:
+    def _quiet(self) -> float:
+        """An emission such that chains with none above have no marginal above FAINT; exact, not a guess.
+
+        Where neighbours attract each other, marginals grow with every emission; so a chain of CHAIN such tokens, and
+        all shorter ones, bound them. Without attraction no chain is passed over.
+        """
+        if self.trans[0, 0] + self.trans[1, 1] < self.trans[0, 1] + self.trans[1, 0]:
+            return -np.inf
+        lengths = np.arange(1, CHAIN + 1)
+        low, high = -30.0, 10.0
+        for _ in range(30):
+            middle = (low + high) / 2
+            m, _, _ = forward_backward(np.full((CHAIN, CHAIN), middle), lengths, self.trans, self.start)
+            low, high = (middle, high) if m.max() <= FAINT else (low, middle)
+        return low if low > -29 else -np.inf
+
+    def marginals(self, texts: list[str | None], known: dict) -> list[list[tuple[int, np.ndarray]]]:
+        """For each text: (number of its first token, marginals of its tokens) of the chains that may matter."""
+        get, quiet, chosen, lengths, owners = known.__getitem__, self.quiet, [], [], []
+        for k, text in enumerate(texts):
+            n = 0
             for c in chains(text):
-                try:
-                    rows.append(np.array([known[w] for w in c]))
-                except KeyError:
-                    for w in c:
-                        if w not in known:
-                            known[w] = self.emission(w)
-                    rows.append(np.array([known[w] for w in c]))
-            starts.append(len(rows))
-        out: list = [None] * len(rows)
-        for part, matrix, length, _ in _padded(rows):
-            m, _, _ = forward_backward(matrix, length, self.trans, self.start)
-            for i, row, n in zip(part.tolist(), m, length.tolist()):
-                out[i] = row[:n]
-        return [out[a:b] for a, b in zip(starts, starts[1:])]
-
-    def aggregate(self, chains_of_text: list[np.ndarray]) -> np.ndarray:
-        """Of a document's marginals: the expected number of toxic tokens (log), the largest, a constant."""
-        if not chains_of_text:
-            return np.array([0.0, 0.0, 1.0])
-        m = np.concatenate(chains_of_text)
-        sure = m[m > 0.05]
-        return np.array([np.log1p(sure.sum()), m.max(), 1.0])
+                e = list(map(get, c))
+                if max(e) > quiet:
+                    chosen += e
+                    lengths.append(len(e))
+                    owners.append((k, n))
+                n += len(c)
+        out: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
+        if not chosen:
+            return out
+        emission, length = np.array(chosen), np.array(lengths)
+        flat = np.zeros(len(emission))
+        for matrix, own, place, mask in _padded(emission, length):
+            m, _, _ = forward_backward(matrix, own, self.trans, self.start)
+            flat[place[mask]] = m[mask]
+        for (k, n), a, b in zip(owners, np.cumsum(length) - length, np.cumsum(length)):
+            out[k].append((n, flat[a:b]))
+        return out
+
+    def aggregate(self, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Of a document's marginals above FAINT: their sum (log), the largest; and a constant."""
+        m = np.concatenate([x for _, x in found]) if found else np.zeros(0)
+        sure = m[m > FAINT]
+        return np.array([np.log1p(sure.sum()), sure.max() if len(sure) else 0.0, 1.0])
 
     def score(self, features: np.ndarray) -> float:
         return float(1.0 / (1.0 + np.exp(-features @ self.document)))
@@ -198,26 +231,27 @@ def fit_crf(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
             g = np.zeros(size + 7)
             trans, start = theta[size + 1 : size + 5].reshape(2, 2), theta[size + 5 :]
             for batch in batches:
-                rows, flat_traits, tags = [], [], []
-                for doc, tag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for line, y in zip(doc, tag):
-                        rows.append(np.array([theta[size] + sum(theta[k] for k in own) for own in line]))
-                        flat_traits.append(line)
-                        tags.append(np.array(y))
-                for part, matrix, length, mask in _padded(rows):
-                    m, pairs, _ = forward_backward(matrix, length, trans, start)
-                    for i, row in zip(part.tolist(), m):
-                        y = tags[i]
-                        rest = y - row[: len(y)]
-                        g[size] += rest.sum()
-                        for own, r in zip(flat_traits[i], rest):
-                            if own:
-                                g[own] += r
-                        g[size + 5 + y[0]] += 1
-                        g[size + 5] -= 1 - row[0]
-                        g[size + 6] -= row[0]
-                        np.add.at(g, size + 1 + 2 * y[:-1] + y[1:], 1)
+                of_chain = batch.column(0).flatten()
+                of_token = of_chain.flatten()
+                length, tags = of_chain.value_lengths().to_numpy(), batch.column(1).flatten().flatten().to_numpy().astype(np.int64)
+                if not len(tags):
+                    continue
+                count, own = of_token.value_lengths().to_numpy(), of_token.flatten().to_numpy()
+                token = np.repeat(np.arange(len(tags)), count)
+                emission = theta[size] + np.bincount(token, weights=theta[own], minlength=len(tags))
+                rest = tags.astype(float)
+                first_of = np.zeros(len(tags), bool)
+                first_of[(np.cumsum(length) - length)[length > 0]] = True
+                for matrix, n, place, mask in _padded(emission, length):
+                    m, pairs, _ = forward_backward(matrix, n, trans, start)
+                    rest[place[mask]] -= m[mask]
                     g[size + 1 : size + 5] -= pairs.ravel()
+                g[:size] += np.bincount(own, weights=rest[token], minlength=size)
+                g[size] += rest.sum()
+                g[size + 6] += rest[first_of].sum()
+                g[size + 5] -= rest[first_of].sum()
+                inner = np.flatnonzero(~first_of)
+                np.add.at(g, size + 1 + 2 * tags[inner - 1] + tags[inner], 1)
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["g"])
 
         total = np.sum([np.frombuffer(r.g) for r in tagged.mapInArrow(gradient, "g binary").collect()], axis=0) - DECAY * theta
@@ -226,8 +260,9 @@ def fit_crf(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     model = Crf({t: float(theta[k]) for t, k in number.items()}, float(theta[size]), theta[size + 1 : size + 5].reshape(2, 2), theta[size + 5 :], np.zeros(3))
 
     def aggregated(batches):
+        known = _Known(model.emission)
         for batch in batches:
-            rows = [model.aggregate(m) for m in model.marginals(batch.column(0).to_pylist())]
+            rows = [model.aggregate(m) for m in model.marginals(batch.column(0).to_pylist(), known)]
             yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in rows], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
     seen = training.mapInArrow(aggregated, "x array<double>, toxic int").collect()  # bounded by 2 * TRAINING_DOCS
@@ -240,7 +275,6 @@ def fit_crf(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
         beta = beta + np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * beta)
     model.document = beta
-    model.known = {}
     return model
 
 
@@ -257,14 +291,15 @@ def tag_toxic(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     arrow = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))])
     word = re.compile(r"\S+")
 
-    def spans(content: str, found: list[np.ndarray]) -> list[dict]:
-        if not found or max(m.max() for m in found) < 0.5:
+    def spans(content: str, found: list[tuple[int, np.ndarray]]) -> list[dict]:
+        likely = {n + int(k): float(m[k]) for n, m in found for k in np.flatnonzero(m >= 0.5)}
+        if not likely:
             return []
-        flat, got, i = np.concatenate(found), [], 0
+        got, i = [], 0
         for line in re.finditer(r"[^\n]+", content):
             for m in word.finditer(content, line.start(), line.end()):
-                p = float(flat[i])
-                if p >= 0.5:
+                if i in likely:
+                    p = likely[i]
                     if got and got[-1]["next"] == i:
                         got[-1] |= {"end": m.end(), "next": i + 1, "probability": max(p, got[-1]["probability"])}
                     else:
@@ -274,9 +309,10 @@ def tag_toxic(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
 
     def tagged(batches):
         crf = sent.value
+        known = _Known(crf.emission)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            got = [{"score": crf.score(crf.aggregate(m)), "spans": spans(t or "", m)} for t, m in zip(texts, crf.marginals(texts))]
+            got = [{"score": crf.score(crf.aggregate(m)), "spans": spans(t or "", m)} for t, m in zip(texts, crf.marginals(texts, known))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, arrow)], [*batch.schema.names, out])
 
     added = docs.select(F.lit(None).cast(kind).alias(out)).schema.fields
