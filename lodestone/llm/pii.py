@@ -38,7 +38,7 @@ _GATE = re.compile(r"@|\d{2}|\b(?:" + "|".join(TITLES) + r")\.? ")
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 _OF = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
 #: Rounds in which colliding surrogates are drawn again.
-ROUNDS = 12
+ROUNDS = 20
 
 
 def entities(text: str | None) -> list[tuple[str, int, int]]:
@@ -148,7 +148,7 @@ def draws(found: DataFrame, key: bytes) -> DataFrame | None:
     """(id, draw) of the entities whose first surrogate collides; None where none does.
 
     ``found``: (id, kind, text), one row each. Surrogates that two entities share, or that equal another entity, are
-    drawn again for all but the smallest id, until none collides. Comparisons are grouped counts and joins by hash.
+    drawn again for all but the smallest id, until none collides; ValueError if a pattern has too few texts for that. Comparisons are grouped counts and joins by hash.
     """
     @F.pandas_udf("string")
     def drawn(kind, text, draw):
@@ -156,7 +156,7 @@ def draws(found: DataFrame, key: bytes) -> DataFrame | None:
 
     now = found.withColumn("draw", F.lit(0))
     changed = False
-    for _ in range(ROUNDS):
+    for round_ in range(ROUNDS):
         now = durable(now.withColumn("made", drawn("kind", "text", "draw")), "surrogates")
         shared = now.groupBy("made").agg(F.min(F.struct("draw", "id"))["id"].alias("first"), F.count("*").alias("n")).where("n > 1")
         losers = now.join(shared, "made").where("id <> first").select("id").union(now.join(found.select(F.col("id").alias("made")), "made", "left_semi").select("id")).distinct()
@@ -164,6 +164,8 @@ def draws(found: DataFrame, key: bytes) -> DataFrame | None:
         if not losers.limit(1).count():
             break
         changed = True
+        if round_ == ROUNDS - 1:
+            raise ValueError("surrogates still collide: the patterns of some kind leave too little room for its entities")
         now = now.drop("made").join(losers.withColumn("again", F.lit(1)), "id", "left").withColumn("draw", F.col("draw") + F.coalesce("again", F.lit(0))).drop("again")
     return now.where("draw > 0").select("id", "draw") if changed else None
 

@@ -61,7 +61,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         long(kept(r"[^A-Z]+"), "n_capitals"), long(kept(r"[^0-9]+"), "n_digits"), long(kept(r"[^.,;:!?]+"), "n_marks"),
         long(F.size(F.array_distinct(w)), "n_distinct_words"), bind(lines, F.size).cast("long").alias("n_lines"),
     )
-    return rows.withColumn(out, stats).drop(t, words, hashes)
+    # one row each: filters on the statistics stay above, instead of computing them anew below for each condition
+    return rows.select(*docs.columns, F.explode(F.array(stats)).alias(out))
 
 
 def ratios(s: Column) -> dict[str, Column]:
