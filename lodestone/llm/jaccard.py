@@ -21,6 +21,8 @@ GROUPS = 64
 BAND = 1.5
 #: Points in a leaf of the R-tree.
 LEAF = 32
+#: Points, and searches, that one task takes of a cell at a time.
+TILE = 512
 
 
 def shingles(text: str | None) -> set[bytes]:
@@ -67,7 +69,7 @@ def cells_of(hashes: np.ndarray) -> np.ndarray:
         content = np.zeros(slices, np.uint64)
         np.add.at(content, at.astype(np.int64), mixed)
         sizes = np.bincount(at.astype(np.int64), minlength=slices).astype(np.uint64)
-        code = content ^ (np.arange(slices, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k + 1) * np.uint64(0x165667B19E3779F9) + sizes)
+        code = content ^ (np.arange(slices, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((k + 1) * 0x165667B19E3779F9 % 2**64) + sizes)
         code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append(code ^ (code >> np.uint64(32)))
     return np.concatenate(out).view(np.int64)
@@ -139,23 +141,42 @@ class RTree:
         return self.order[at[_may_link(np.minimum(own, point).sum(axis=1), size + own.sum(axis=1))]]
 
 
-def _cell_pairs(key, table):
-    """One cell's points -> pairs of different components that the R-tree can't rule out."""
-    ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
-    points = _vectors(table.column("counts").combine_chunks() if table.num_rows else table.column("counts"))
-    a, b = [], []
-    if len(ids) > 1:
-        names, number, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        largest = names[np.argmax(sizes)]
-        tree = RTree(points)
-        # the largest component's points need no search of their own: every other point meets them
-        for k in np.flatnonzero(comp != largest):
-            near = tree.search(points[k])
-            near = near[(comp[near] != comp[k]) & ((ids[near] > ids[k]) | (comp[near] == largest))]
-            a += [int(ids[k])] * len(near)
-            b += ids[near].tolist()
-    lo, hi = np.minimum(a, b) if a else [], np.maximum(a, b) if a else []
-    return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
+def _tile_pairs(key, table):
+    """One tile of a cell, some of its points and some of its searches -> pairs that the R-tree can't rule out.
+
+    ``large`` points belong to the cell's largest component; they are found by the others but don't search themselves.
+    """
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    ids, comp, large = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "large"))
+    points = _vectors(table.column("counts"))
+    own, there = np.flatnonzero(asks), np.flatnonzero(~asks)
+    lo, hi = [], []
+    if len(own) and len(there):
+        tree = RTree(points[there])
+        for k in own:
+            near = there[tree.search(points[k])]
+            near = near[(comp[near] != comp[k]) & (large[near] | (ids[near] > ids[k]))]
+            lo.append(np.minimum(ids[near], ids[k]))
+            hi.append(np.maximum(ids[near], ids[k]))
+    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+    return pa.table({"a": join(lo), "b": join(hi)})
+
+
+def _tiles(member: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(cell, points, searches, id, component, counts, large, asks): the cells that hold several components, in tiles.
+
+    A cell's points are dealt into tiles of about TILE by a hash of their ids, and so are its searches (the points
+    outside its largest component); each tile of searches meets each tile of points. So no group grows with a hot cell.
+    """
+    sizes = member.groupBy("cell", "component").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    mixed = sizes.where("parts > 1").select("cell", F.col("top.component").alias("largest"), tiles(F.col("n")).alias("np"), tiles(F.col("n") - F.col("top.n")).alias("ns"))
+    rows = member.join(mixed, "cell").join(vectors.select("id", "counts"), "id").withColumn("large", F.col("component") == F.col("largest"))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    point = rows.select("cell", mine("np").alias("points"), every("ns").alias("searches"), "id", "component", "counts", "large", F.lit(False).alias("asks"))
+    search = rows.where("not large").select("cell", every("np").alias("points"), mine("ns").alias("searches"), "id", "component", "counts", "large", F.lit(True).alias("asks"))
+    return point.union(search)
 
 
 def _verified(batches):
@@ -199,9 +220,9 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
        miss. Equal sets are one node, named by the smallest key among them.
     2. In each cell, nodes are paired with the smallest one; pairs whose summed coordinate minima can't reach the
        threshold are dropped, the rest verified on whole shingle sets, and joined into components.
-    3. Cells that still hold several components build an R-tree of their points; each point outside the cell's largest
-       component searches it, and pairs of different components that survive are verified too. A hot group of near
-       copies is one component by then and isn't expanded into its pairs.
+    3. Cells that still hold several components are dealt into tiles of bounded size, each with an R-tree of its
+       points; each point outside the cell's largest component searches them, and pairs of different components that
+       survive are verified too. A hot group of near copies is one component by then and isn't expanded into its pairs.
 
     Returns (key, n_shingles, component, links): a row per row of ``docs``; ``component`` is the smallest key reachable,
     ``links`` the number of verified links of the row's set and of other copies that were needed to join it. Null and
@@ -237,9 +258,7 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     found = components(links)
     member = inside.join(found, inside["id"] == found["node"], "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
     member = durable(member, "members")
-    mixed = member.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("cell")
-    open_cells = member.join(mixed, "cell").join(vectors.select("id", "counts"), "id").select("cell", "id", "component", "counts")
-    more = open_cells.groupBy("cell").applyInArrow(_cell_pairs, "a long, b long").distinct()
+    more = _tiles(member, vectors).groupBy("cell", "points", "searches").applyInArrow(_tile_pairs, "a long, b long").distinct()
     more = more.join(stars, ["a", "b"], "left_anti")
     links = links.union(_verify(more, texts))
     found = components(links)
@@ -264,4 +283,4 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     """The operator over all documents."""
     found = link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "links")
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
