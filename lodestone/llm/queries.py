@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .bpe import op6_bpe
 from .decontam import op9_decontamination
 from .jaccard import op5_jaccard
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_urls": oracles.URLS, "op5_jaccard": oracles.JACCARD, "op9_decontamination": oracles.DECONTAMINATION}
