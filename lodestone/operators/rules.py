@@ -320,8 +320,12 @@ class Corpus:
 
     def findings(self, level: str = "references") -> DataFrame:
         """All findings of the rules up to ``level``; only those rules are planned."""
-        names = [r for k in LEVELS[: LEVELS.index(level) + 1] for r in self.RULES[k]]
-        return reduce(DataFrame.union, [getattr(self, n)().withColumn("rule", F.lit(n)) for n in names])
+        from . import semantics
+
+        levels = LEVELS[: LEVELS.index(level) + 1]
+        own = [getattr(self, n)().withColumn("rule", F.lit(n)) for k in levels for n in self.RULES[k]]
+        more = [f(self).withColumn("rule", F.lit(f.__name__)) for k in levels for f in semantics.RULES.get(k, ())]
+        return reduce(DataFrame.union, own + more)
 
     def report(self, level: str = "references") -> DataFrame:
         """(archive, ok, n_sections, n_errors, n_warnings, errors, warnings) for every archive."""

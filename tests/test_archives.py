@@ -1,5 +1,6 @@
 """Archive tables, rules, and writing, on archives made here."""
 
+import copy
 import io
 import json
 import warnings
@@ -20,6 +21,8 @@ def section(spec, sid):
 def edited(edit):
     spec = water()
     edit(spec)
+    if any(x["kind"] == "reaction.scheme" for x in spec["sections"]):
+        spec["sections"].append(copy.deepcopy(spec["sections"][0]) | {"id": "mol2"})
     return build(spec)
 
 
@@ -43,6 +46,12 @@ stiff = np.eye(6).tolist()
 skew = np.eye(6)
 skew[0, 1] = 0.5
 
+def scheme(value, product="mol"):
+    terms = [{"structure_ref": "mol2", "coefficient": -1, "energy_eh": -1.0}, {"structure_ref": product, "coefficient": 1, "energy_eh": -2.0}]
+    step = {"id": "s", "reactants": [{"structure_ref": "mol2"}], "products": [{"structure_ref": product}], "energies": {"terms": terms, "deltas": {"energy": {"value_eh": value, "kcal_mol": value * 627.509474}}}}
+    return {"id": "rx", "kind": "reaction.scheme", "members": {"scheme": {"steps": [step]}}}
+
+
 #: name -> (archive, codes it must have and no others)
 CASES = {
     "sound": (build(water()), set()),
@@ -60,7 +69,7 @@ CASES = {
     "missing": (build(water(), change=lambda m: member(m, "ir", "spectrum").update(path="gone")), {"E_MEMBER_MISSING", "W_ORPHAN_MEMBER"}),
     "size": (build(water(), change=lambda m: member(m, "ir", "spectrum").update(size=1)), {"E_BINARY_SIZE"}),
     "sha": (build(water(), change=lambda m: member(m, "ir", "spectrum").update(sha256="0" * 64)), {"E_SHA256_MISMATCH"}),
-    "dtype": (build(water(), change=lambda m: member(m, "rho", "data").update(dtype="float16")), {"E_DTYPE"}),
+    "dtype": (build(water(), change=lambda m: member(m, "rho", "data").update(dtype="float16")), {"E_DTYPE", "E_SCHEMA"}),
     "shape": (build(water(), change=lambda m: member(m, "rho", "data").update(shape=[2, 2, 3])), {"E_BINARY_SIZE"}),
     "shape_kind": (build(water(), change=lambda m: member(m, "rho", "data").update(shape=[2, "2", 2])), {"E_MEMBER_MALFORMED"}),
     "utf8": (edited(lambda s: section(s, "run")["members"].update(log=b"\xff\xfe")), {"E_UTF8"}),
@@ -89,7 +98,28 @@ CASES = {
     "states_good": (edited(lambda s: s["sections"].append(excited([1, 2, 5]))), set()),
     "elastic": (edited(lambda s: s["sections"].append({"id": "el", "kind": "properties.elastic", "members": {"properties": {"stiffness": skew.tolist()}}})), {"E_MEMBER_MALFORMED"}),
     "elastic_good": (edited(lambda s: s["sections"].append({"id": "el", "kind": "properties.elastic", "members": {"properties": {"stiffness": stiff}}})), set()),
-    "weights": (edited(lambda s: s["sections"].append({"id": "b", "kind": "wavefunction.bloch", "members": {"kpoints": {"weights": [0.5, 0.4]}}})), {"E_MEMBER_MALFORMED"}),
+    "weights": (edited(lambda s: s["sections"].append({"id": "b", "kind": "wavefunction.bloch", "members": {"kpoints": {"weights": [0.5, 0.4]}}})), {"E_MEMBER_MALFORMED", "E_SCHEMA"}),
+    "role_missing": (edited(lambda s: section(s, "rho")["members"].pop("data")), {"E_SCHEMA"}),
+    "role_rank": (edited(lambda s: section(s, "rho")["members"].update(data=np.zeros(8))), {"E_SCHEMA"}),
+    "bands": (edited(lambda s: s["sections"].append({"id": "bs", "kind": "bands", "members": {"kpath": {}, "eigenvalues": np.zeros((1, 3, 2)), "occupations": np.zeros((1, 3, 3))}})), {"E_MEMBER_MALFORMED"}),
+    "trajectory": (edited(lambda s: s["sections"].append({"id": "t", "kind": "trajectory", "members": {"metadata": {"energies": [1.0, 2.0]}, "coords": np.zeros((2, 3, 3)), "energies": np.array([1.0, 2.5])}})), {"E_MEMBER_MALFORMED"}),
+    "trajectory_good": (edited(lambda s: s["sections"].append({"id": "t", "kind": "trajectory", "members": {"metadata": {"energies": [1.0, 2.0]}, "coords": np.zeros((2, 3, 3)), "energies": np.array([1.0, 2.0]), "velocities": np.zeros((2, 3, 3))}})), set()),
+    "trajectory_times": (edited(lambda s: s["sections"].append({"id": "t", "kind": "trajectory", "members": {"metadata": {}, "coords": np.zeros((2, 3, 3)), "times": np.zeros(3)}})), {"E_MEMBER_MALFORMED"}),
+    "forces": (edited(lambda s: s["sections"].append({"id": "f", "kind": "forces", "members": {"gradient": np.zeros((4, 3))}})), {"E_MEMBER_MALFORMED"}),
+    "forces_good": (edited(lambda s: s["sections"].append({"id": "f", "kind": "forces", "structure_ref": "mol", "members": {"gradient": np.zeros((3, 3)), "stress": np.zeros((3, 3))}})), set()),
+    "hessian": (edited(lambda s: s["sections"].append({"id": "h", "kind": "hessian", "members": {"matrix": np.zeros((10, 10))}})), {"E_MEMBER_MALFORMED"}),
+    "vector": (edited(lambda s: s["sections"].append({"id": "v", "kind": "volume.vector", "members": {"grid": {}, "data": np.zeros((2, 2, 2, 4))}})), {"E_MEMBER_MALFORMED"}),
+    "grid_periodic": (edited(lambda s: section(s, "rho")["members"]["grid"].update(periodic=[True, False, False], voxel_vectors=[[1, 0, 0], [0, 1, 0], [0, 0, 1]])), {"E_MEMBER_MALFORMED"}),
+    "dielectric": (edited(lambda s: s["sections"].append({"id": "d", "kind": "properties.dielectric", "members": {"properties": {"electronic": np.eye(3).tolist(), "ionic": np.eye(3).tolist(), "static": np.eye(3).tolist(), "born_charges": [1, 2, 3]}}})), {"E_MEMBER_MALFORMED"}),
+    "dipole": (edited(lambda s: (s.update(dipole_moment={"vector_debye": [0, 0, 1], "total_debye": 1}), s["sections"].append({"id": "e", "kind": "properties.electric", "members": {"properties": {"dipole": {"vector": [0, 0, 1.1], "total": 1}}}}))), {"E_ROOT_INCONSISTENT"}),
+    "energies": (edited(lambda s: s.update(provenance={"method": "HF", "scf_energy": {"value": -27.211386245988, "units": "eV"}}, energies={"method": "hf", "total": {"value": -1.1, "units": "Hartree"}})), {"E_ROOT_INCONSISTENT"}),
+    "energies_good": (edited(lambda s: s.update(provenance={"method": "HF", "scf_energy": {"value": -27.211386245988, "units": "eV"}, "charge": 0}, energies={"method": "hf", "total": {"value": -1.0, "units": "Hartree"}})), set()),
+    "identity": (edited(lambda s: s.update(provenance={"charge": 2})), {"E_ROOT_INCONSISTENT"}),
+    "reaction": (edited(lambda s: s["sections"].append(scheme(-1.5))), {"E_MEMBER_MALFORMED"}),
+    "reaction_good": (edited(lambda s: s["sections"].append(scheme(-1.0))), set()),
+    "reaction_ref": (edited(lambda s: s["sections"].append(scheme(-1.0, "ir"))), {"E_REF_UNRESOLVED"}),
+    "custom": (edited(lambda s: s["sections"].append({"id": "a", "kind": "atom_properties", "members": {"meta": {"custom.a": {}}, "custom.a": np.zeros(3), "custom.b": np.zeros(3)}})), {"E_MEMBER_MALFORMED"}),
+    "nto": (edited(lambda s: s["sections"].append({"id": "n", "kind": "wavefunction.gto", "members": {"basis": {}, "mo_metadata": {"orbital_kind": "nto", "spin": "unrestricted", "nto_role": "hole", "alpha": {"occupations": [0.5, 0.6]}}}})), {"E_MEMBER_MALFORMED"}),
     "preview": (edited(lambda s: s["sections"].append({"id": "p", "kind": "preview", "members": {"thumbnail": b"GIF89a"}})), {"E_MEMBER_MALFORMED"}),
     "preview_good": (edited(lambda s: s["sections"].append({"id": "p", "kind": "preview", "members": {"thumbnail": b"\x89PNG\r\n\x1a\n..."}})), set()),
 }
