@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import LEGACY_UNITS, UNITS, path_problem
 from ..sources import archives as A
+from ..sources.tables import durable
 from . import catalog
 
 LEVELS = ("container", "manifest", "payloads", "semantics", "references")
@@ -53,11 +54,26 @@ def here(*parts: Column) -> Column:
 
 
 class Corpus:
-    """The tables of a set of archives, and the rules over them."""
+    """The tables of a set of archives, and the rules over them.
+
+    ``stored`` writes the tables once, so that each archive is opened three times however many rules are asked.
+    """
 
     def __init__(self, archives: DataFrame, limits: Limits = Limits(), payloads: bool = True):
         self.archives, self.limits, self.payloads = archives, limits, payloads
 
+    def stored(self) -> Corpus:
+        """The same corpus with its tables written; of the members' bytes only those that rules read are kept."""
+        needed = ((F.col("kind") == "preview") | ((F.col("kind") == "run.record") & F.col("role").isin("input", "log")) | (F.col("kind").isin("trajectory", "reaction.path") & (F.col("role") == "energies")))
+        out = Corpus(self.archives, self.limits, self.payloads)
+        out.__dict__ |= {
+            "entries": durable(self.entries, "entries"),
+            "manifests": durable(self.manifests, "manifests"),
+            "members": durable(self.members.withColumn("content", F.when(needed, F.col("content"))).withColumn("text", F.lit(None).cast("string")), "members"),
+        }
+        out.__dict__["sections"] = durable(out.sections.withColumn("value", F.to_json("value")), "sections").withColumn("value", F.parse_json("value"))
+        return out
+
     @cached_property
     def entries(self) -> DataFrame:
         return A.entries(self.archives)

@@ -21,7 +21,7 @@ def validate_stream(archives: DataFrame, reports: str, checkpoint: str, level: s
 
     def batch(rows: DataFrame, number: int) -> None:
         held = rows.select("archive", "content").persist()
-        Corpus(held).report(level).write.mode("overwrite").parquet(f"{reports}/batch={number}")
+        Corpus(held).stored().report(level).write.mode("overwrite").parquet(f"{reports}/batch={number}")
         held.unpersist()
 
     return archives.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -136,7 +136,7 @@ def folder(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def corpus(spark, folder):
-    return Corpus(A.read_archives(spark, str(folder), "*.arc").cache())
+    return Corpus(A.read_archives(spark, str(folder), "*.arc")).stored()
 
 
 def stem(path):
