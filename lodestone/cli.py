@@ -33,7 +33,7 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--pattern", action="append", default=[])
     x = sub.add_parser("convert", help="read text formats into Parquet tables")
     x.add_argument("path")
-    x.add_argument("--format", required=True, choices=("xyz", "poscar", "cube", "chgcar", "pdb"))
+    x.add_argument("--format", required=True, choices=("xyz", "poscar", "cube", "chgcar", "pdb", "cif", "mmcif", "xsf", "molden"))
     x.add_argument("--out", required=True)
     return top
 

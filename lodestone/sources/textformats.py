@@ -27,6 +27,10 @@ ATOMS = "path string, frame int, atom int, symbol string, z int, x double, y dou
 FRAMES = "path string, frame int, n_atoms int, comment string, energy double, lattice array<array<double>>, pbc array<boolean>"
 VOXELS = "path string, grid int, i int, j int, k int, value double"
 GRIDS = "path string, grid int, origin array<double>, vectors array<array<double>>, shape array<int>, integral double"
+OPERATORS = "path string, op int, operator string"
+SHELLS = "path string, shell int, centre int, l int, pure boolean, exponents array<double>, coefficients array<double>"
+ORBITALS = "path string, mo int, symmetry string, energy double, spin string, occupation double"
+COEFFICIENTS = "path string, mo int, ao int, value double"
 PROBLEMS = "path string, problem string"
 
 
@@ -206,12 +210,172 @@ def pdb(text: str):
     return {"frames": [(g, sum(x[0] == g for x in atoms), "", None, lattice, [lattice is not None] * 3) for g in frames], "atoms": atoms}
 
 
-PARSERS = {"xyz": xyz, "poscar": poscar, "cube": cube, "chgcar": chgcar, "pdb": pdb}
+_CIF_TOKEN = re.compile(r"^;(?P<text>.*?)\n;|(?P<single>'(?:[^'\n]|'(?=\S))*')(?=\s|$)|(?P<double>\"(?:[^\"\n]|\"(?=\S))*\")(?=\s|$)|#[^\n]*|(?P<plain>\S+)", re.S | re.M)
+
+
+def cif_items(text: str) -> tuple[dict[str, str], list[dict[str, list[str]]]]:
+    """Single items and loops of the first data block of a CIF, tags in lower case."""
+    tokens = []
+    for m in _CIF_TOKEN.finditer(text):
+        if m.lastgroup:
+            quoted = m.lastgroup != "plain"
+            tokens.append((m[m.lastgroup][1:-1] if m.lastgroup in ("single", "double") else m[m.lastgroup], quoted))
+    starts = [k for k, (t, q) in enumerate(tokens) if not q and t.lower().startswith("data_")]
+    if not starts:
+        raise ValueError("no data block")
+    tokens = tokens[starts[0] + 1 : starts[1] if len(starts) > 1 else None]
+    singles, loops, at = {}, [], 0
+    word = lambda k: not tokens[k][1] and (tokens[k][0].startswith("_") or tokens[k][0].lower() == "loop_")
+    while at < len(tokens):
+        if not tokens[at][1] and tokens[at][0].lower() == "loop_":
+            at += 1
+            tags = []
+            while at < len(tokens) and not tokens[at][1] and tokens[at][0].startswith("_"):
+                tags.append(tokens[at][0].lower())
+                at += 1
+            first = at
+            while at < len(tokens) and not word(at):
+                at += 1
+            values = [t for t, _ in tokens[first:at]]
+            if not tags or len(values) % len(tags):
+                raise ValueError("a loop has another number of values than its tags")
+            loops.append({t: values[k :: len(tags)] for k, t in enumerate(tags)})
+        else:
+            if at + 1 >= len(tokens) or not tokens[at][0].startswith("_") or word(at + 1):
+                raise ValueError(f"no value for {tokens[at][0]}")
+            singles[tokens[at][0].lower()] = tokens[at + 1][0]
+            at += 2
+    return singles, loops
+
+
+def _uncertain(text: str) -> float:
+    return _number(re.sub(r"\(\d+\)$", "", text))
+
+
+def cif(text: str):
+    """The asymmetric unit of a CIF in angstrom, its cell, and its symmetry operators (``operators``)."""
+    from ..operators.geometry import cell_vectors
+
+    singles, loops = cif_items(text)
+    lattice = cell_vectors(*[_uncertain(singles[f"_cell_{k}"]) for k in ("length_a", "length_b", "length_c", "angle_alpha", "angle_beta", "angle_gamma")])
+    sites = next(x for x in loops if "_atom_site_fract_x" in x)
+    n = len(sites["_atom_site_fract_x"])
+    names = sites.get("_atom_site_type_symbol") or sites["_atom_site_label"]
+    atoms = []
+    for k in range(n):
+        f = [_uncertain(sites[f"_atom_site_fract_{c}"][k]) for c in "xyz"]
+        s = _symbol(re.match(r"[A-Za-z]{1,2}(?![a-z])|[A-Za-z]", names[k])[0])
+        atoms.append((0, k, s, NUMBER_OF[s], *[sum(f[i] * lattice[i][j] for i in range(3)) for j in range(3)], None, None, None, None))
+    tags = ("_space_group_symop_operation_xyz", "_symmetry_equiv_pos_as_xyz")
+    ops = next((x[t] for x in loops for t in tags if t in x), None) or ["x,y,z"]
+    return {"frames": [(0, n, "", None, lattice, [True] * 3)], "atoms": atoms, "operators": list(enumerate(ops))}
+
+
+def mmcif(text: str):
+    """Atom sites of an mmCIF, each model a frame; the cell where there is one."""
+    from ..operators.geometry import cell_vectors
+
+    singles, loops = cif_items(text)
+    sites = next(x for x in loops if "_atom_site.cartn_x" in x)
+    keys = ("length_a", "length_b", "length_c", "angle_alpha", "angle_beta", "angle_gamma")
+    known = all(singles.get(f"_cell.{k}", "?") not in ("?", ".") for k in keys)
+    lattice = cell_vectors(*[_uncertain(singles[f"_cell.{k}"]) for k in keys]) if known else None
+    models = sites.get("_atom_site.pdbx_pdb_model_num") or ["1"] * len(sites["_atom_site.cartn_x"])
+    number = {m: k for k, m in enumerate(dict.fromkeys(models))}
+    atoms, count = [], dict.fromkeys(number, 0)
+    for k, m in enumerate(models):
+        s = _symbol(sites["_atom_site.type_symbol"][k])
+        atoms.append((number[m], count[m], s, NUMBER_OF[s], *[_uncertain(sites[f"_atom_site.cartn_{c}"][k]) for c in "xyz"], None, None, None, None))
+        count[m] += 1
+    return {"frames": [(f, count[m], "", None, lattice, [lattice is not None] * 3) for m, f in number.items()], "atoms": atoms}
+
+
+def xsf(text: str):
+    """XSF structures with forces, and their data grids (x fastest in the file)."""
+    lines = [x.split() for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+    pbc, lattice, atoms, grids, voxels, at = [False] * 3, None, [], [], [], 0
+    periodic = {"CRYSTAL": 3, "SLAB": 2, "POLYMER": 1, "MOLECULE": 0}
+    while at < len(lines):
+        word = lines[at][0].upper()
+        if word in periodic:
+            pbc = [k < periodic[word] for k in range(3)]
+        elif word == "PRIMVEC":
+            lattice = [[_number(x) for x in lines[at + k]] for k in (1, 2, 3)]
+            at += 3
+        elif word in ("PRIMCOORD", "ATOMS"):
+            at += 1
+            n = int(lines[at][0]) if word == "PRIMCOORD" else len(lines)
+            at += word == "PRIMCOORD"
+            while at < len(lines) and n and re.match(r"(\d+|[A-Z][a-z]?)$", lines[at][0]) and len(lines[at]) in (4, 7):
+                s, p = _symbol(lines[at][0]), [_number(x) for x in lines[at][1:]]
+                g = [-x * BOHR_IN_ANGSTROM for x in p[3:]] if len(p) == 6 else [None] * 3  # forces in hartree/angstrom
+                atoms.append((0, len(atoms), s, NUMBER_OF[s], *p[:3], *g, None))
+                at, n = at + 1, n - 1
+            at -= 1
+        elif word.startswith(("DATAGRID_3D", "BEGIN_DATAGRID_3D")) and not word.startswith("BEGIN_BLOCK"):
+            shape = [int(x) for x in lines[at + 1]]
+            origin, vectors = [_number(x) / BOHR_IN_ANGSTROM for x in lines[at + 2]], [[_number(x) / BOHR_IN_ANGSTROM / max(1, n - 1) for x in lines[at + 3 + k]] for k, n in enumerate(shape)]
+            at, values = at + 6, []
+            while at < len(lines) and not lines[at][0].upper().startswith("END_DATAGRID"):
+                values += [_number(x) for x in lines[at]]
+                at += 1
+            g = len(grids)
+            voxels += _voxels(g, shape, values, "x")
+            grids.append(_grid(g, origin, vectors, shape, values))
+        at += 1
+    if not atoms and not grids:
+        raise ValueError("neither atoms nor grids")
+    return {"frames": [(0, len(atoms), "", None, lattice, pbc)], "atoms": atoms, "grids": grids, "voxels": voxels}
+
+
+def molden(text: str):
+    """Molden: atoms, contracted shells (``shells``), orbitals (``orbitals``) and their coefficients (``coefficients``)."""
+    parts = re.split(r"^\s*\[([^\]]+)\]([^\n]*)\n", text, flags=re.M)
+    blocks: dict[str, tuple[str, list[str]]] = {}
+    for name, rest, body in zip(parts[1::3], parts[2::3], parts[3::3]):
+        blocks[name.strip().lower()] = (rest.strip().lower(), body.splitlines())
+    unit, rows = blocks["atoms"]
+    scale = 1.0 if unit.startswith("ang") else BOHR_IN_ANGSTROM
+    atoms = []
+    for line in rows:
+        if p := line.split():
+            s = SYMBOLS[int(p[2]) - 1]
+            atoms.append((0, len(atoms), s, int(p[2]), *[_number(x) * scale for x in p[3:6]], None, None, None, None))
+    pure = {2: "5d" in blocks or "5d7f" in blocks or "5d10f" in blocks, 3: "5d" in blocks or "5d7f" in blocks or "7f" in blocks, 4: "9g" in blocks}
+    shells, at, centre = [], 0, None
+    body = [x.split() for x in blocks.get("gto", ("", []))[1]]
+    while at < len(body):
+        p = body[at]
+        if p and p[0].isdigit() and (len(p) == 1 or p[1] == "0"):
+            centre = int(p[0]) - 1
+        elif p and p[0].lower() in "spdfg":
+            l, n = "spdfg".index(p[0].lower()), int(p[1])  # noqa: E741
+            pairs = [[_number(x) for x in body[at + 1 + k][:2]] for k in range(n)]
+            shells.append((len(shells), centre, l, pure.get(l, False), [x[0] for x in pairs], [x[1] for x in pairs]))
+            at += n
+        at += 1
+    orbitals, coefficients, head = [], [], {}
+    for line in blocks.get("mo", ("", []))[1]:
+        if "=" in line:
+            k, _, v = line.partition("=")
+            k = k.strip().lower()
+            if k in head or "occup" in head:
+                head = {}
+            head[k] = v.strip()
+            if k == "occup":
+                orbitals.append((len(orbitals), head.get("sym", ""), _number(head.get("ene", "0")), head.get("spin", "Alpha").lower(), _number(v)))
+        elif p := line.split():
+            coefficients.append((len(orbitals) - 1, int(p[0]) - 1, _number(p[1])))
+    return {"frames": [(0, len(atoms), "", None, None, [False] * 3)], "atoms": atoms, "shells": shells, "orbitals": orbitals, "coefficients": coefficients}
+
+
+PARSERS = {"cif": cif, "mmcif": mmcif, "xsf": xsf, "molden": molden, "xyz": xyz, "poscar": poscar, "cube": cube, "chgcar": chgcar, "pdb": pdb}
 
 
 def parse(files: DataFrame, parser: str, table: str = "atoms") -> DataFrame:
-    """One table of the files: atoms, frames, grids, voxels, or problems (why a file wasn't read)."""
-    ddl = {"atoms": ATOMS, "frames": FRAMES, "grids": GRIDS, "voxels": VOXELS, "problems": PROBLEMS}[table]
+    """One table of the files: atoms, frames, grids, voxels, operators (CIF), shells, orbitals, coefficients (Molden), or
+    problems (why a file wasn't read)."""
+    ddl = {"atoms": ATOMS, "frames": FRAMES, "grids": GRIDS, "voxels": VOXELS, "operators": OPERATORS, "shells": SHELLS, "orbitals": ORBITALS, "coefficients": COEFFICIENTS, "problems": PROBLEMS}[table]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -222,7 +386,7 @@ def parse(files: DataFrame, parser: str, table: str = "atoms") -> DataFrame:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     found = run(text.as_py() or "").get(table, [])
-                except (ValueError, IndexError, KeyError) as e:
+                except (ValueError, IndexError, KeyError, TypeError, StopIteration, ZeroDivisionError) as e:
                     found = [(str(e) or type(e).__name__,)] if table == "problems" else []
                 for k in range(0, len(found), 50_000):
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (path, *row))) for row in found[k : k + 50_000]], schema=schema)

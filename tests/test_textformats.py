@@ -62,6 +62,42 @@ def test_pdb(spark, texts):
     assert T.parse(texts(PDB), "pdb", "frames").first().lattice[1][1] == pytest.approx(10)
 
 
+CIF = "data_x\n_cell_length_a 4.0(1)\n_cell_length_b 4\n_cell_length_c 4\n_cell_angle_alpha 90\n_cell_angle_beta 90\n_cell_angle_gamma 90\n_title\n;many\nlines\n;\n# note\nloop_\n_symmetry_equiv_pos_as_xyz\n'x, y, z'\n'-x, -y, z'\nloop_\n_atom_site_label\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\nNa1 0.25(2) 0 0\nCl2 0.5 0.5 0.5\n"
+MMCIF = "data_m\n_cell.length_a ?\nloop_\n_atom_site.type_symbol\n_atom_site.Cartn_x\n_atom_site.Cartn_y\n_atom_site.Cartn_z\n_atom_site.pdbx_PDB_model_num\nC 1 2 3 1\nO 2 3 4 1\nC 1 2 3.5 2\nO 2 3 4 2\n"
+XSF = "CRYSTAL\nPRIMVEC\n3 0 0\n0 3 0\n0 0 3\nPRIMCOORD\n1 1\n14 0 0 0 0.1 0 0\nBEGIN_BLOCK_DATAGRID_3D\nrho\nBEGIN_DATAGRID_3D_rho\n2 1 2\n0 0 0\n3 0 0\n0 3 0\n0 0 3\n1 2\n3 4\nEND_DATAGRID_3D\nEND_BLOCK_DATAGRID_3D\n"
+MOLDEN = "[Molden Format]\n[Atoms] AU\nH 1 1 0 0 0\nH 2 1 0 0 1.4\n[GTO]\n1 0\ns 2 1.00\n 3.0 0.5\n 0.5D0 0.6\n\n2 0\np 1 1.0\n 1.0 1.0\n\n[5D]\n[MO]\nSym= a\nEne= -0.5\nSpin= Alpha\nOccup= 2.0\n1 0.7\n2 0.1\nSym= b\nEne= 0.5\nSpin= Alpha\nOccup= 0.0\n1 -0.7\n"
+
+
+def test_cif_to_unit_cell(spark, texts):
+    from lodestone.operators import geometry as G
+
+    files = texts(CIF)
+    atoms = T.parse(files, "cif").orderBy("atom").collect()
+    assert [(r.symbol, r.x) for r in atoms] == [("Na", pytest.approx(1.0)), ("Cl", pytest.approx(2.0))]
+    ops = [r.operator for r in T.parse(files, "cif", "operators").where("path = 'f'").orderBy("op").collect()]
+    lattice = [list(v) for v in T.parse(files, "cif", "frames").first().lattice]
+    fractions = T.parse(files, "cif").selectExpr("path", "atom", "x / 4 as fx", "y / 4 as fy", "z_ / 4 as fz", "symbol")
+    cell = G.expand_cell(fractions, G.operators_table(spark, ops), lattice, ["path"]).collect()
+    assert sorted(r.symbol for r in cell) == ["Cl", "Na", "Na"]
+
+
+def test_mmcif_xsf_molden(spark, texts):
+    frames = T.parse(texts(MMCIF), "mmcif", "frames").orderBy("frame").collect()
+    assert [(r.n_atoms, r.lattice) for r in frames] == [(2, None), (2, None)]
+    assert [r.z_ for r in T.parse(texts(MMCIF), "mmcif").orderBy("frame", "atom").collect()] == [3, 4, 3.5, 4]
+    v = {(r.i, r.j, r.k): r.value for r in T.parse(texts(XSF), "xsf", "voxels").collect()}
+    assert v == {(0, 0, 0): 1, (1, 0, 0): 2, (0, 0, 1): 3, (1, 0, 1): 4}
+    a = T.parse(texts(XSF), "xsf").first()
+    assert a.symbol == "Si" and a.gx == pytest.approx(-0.1 * 0.529177210903)
+    shells = T.parse(texts(MOLDEN), "molden", "shells").orderBy("shell").collect()
+    assert [(s.centre, s.l, list(s.exponents)) for s in shells] == [(0, 0, [3.0, 0.5]), (1, 1, [1.0])]
+    assert [(o.energy, o.occupation) for o in T.parse(texts(MOLDEN), "molden", "orbitals").orderBy("mo").collect()] == [(-0.5, 2), (0.5, 0)]
+    assert {(c.mo, c.ao): c.value for c in T.parse(texts(MOLDEN), "molden", "coefficients").collect()} == {(0, 0): 0.7, (0, 1): 0.1, (1, 0): -0.7}
+    assert T.parse(texts(MOLDEN), "molden").orderBy("atom").collect()[1].z_ == pytest.approx(1.4 * 0.529177210903)
+    for p in T.PARSERS:
+        assert {r.path for r in T.parse(texts(""), p, "problems").collect()} == {"f", "broken"}
+
+
 def test_omitted_sections(spark):
     s = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "archive string, id string")
     assert [(r.archive, r.omitted) for r in T.omitted_sections(s, s.where("id in ('x', 'z')")).collect()] == [("a", ["y"])]
