@@ -219,6 +219,39 @@ def tensors(member_rows: DataFrame) -> DataFrame:
     return rows.select("archive", "section_id", "kind", "role", "dtype", "shape", "content").mapInArrow(work, ddl)
 
 
+def _contents(name: str, content: bytes):
+    z = _opened(content)
+    for entry in dict.fromkeys(z.namelist()) if z else ():
+        if not entry.endswith("/"):
+            try:
+                yield name, entry, z.read(entry)  # the last of several
+            except Exception:  # noqa: BLE001,S112  a broken entry is a finding, not a part of the new archive
+                continue
+
+
+def contents(archives: DataFrame) -> DataFrame:
+    """(archive, name, content): the last of the entries of each name."""
+    return _table(archives, "archive string, name string, content binary", _contents)
+
+
+def repack(archives: DataFrame, folder: str, stored: bool = False) -> DataFrame:
+    """Writes each archive anew with its current manifest and the members that declares, nothing else.
+
+    Archives without a readable manifest aren't written. Returns what ``write_archives`` does; names are the file names.
+    """
+    used = members(archives, payloads=False).where("found").select("archive", F.col("path").alias("name")).distinct()
+    sound = manifests(archives).where("manifest is not null").select("archive", F.lit(MANIFEST).alias("name"))
+    parts = contents(archives).join(used.union(sound), ["archive", "name"], "left_semi").join(sound.select("archive"), "archive", "left_semi")
+    return write_archives(parts.withColumn("archive", F.element_at(F.split("archive", "/"), -1)), folder, stored)
+
+
+def extract(archives: DataFrame, section_id: str, role: str) -> DataFrame:
+    """(archive, content) of one member whose size and hash are as declared."""
+    m = members(archives).where((F.col("section_id") == section_id) & (F.col("role") == role) & F.col("code").isNull())
+    right = F.coalesce(F.col("declared_sha256") == F.col("sha256"), F.lit(True)) & F.coalesce(F.col("declared_size") == F.col("size"), F.lit(True))
+    return m.where(right & F.col("content").isNotNull()).select("archive", "content")
+
+
 def write_archives(parts: DataFrame, folder: str, stored: bool = False) -> DataFrame:
     """Writes archives and returns (archive, path, bytes, sha256).
 

@@ -10,7 +10,7 @@ import re
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Element symbols by atomic number.
 SYMBOLS = (
@@ -455,6 +455,46 @@ def to_poscar(atoms: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.select("path", text.alias("text"))
 
 
+def _fractions(lattice: str = "lattice") -> list[Column]:
+    """Fractional coordinates of x, y, z_ in a lattice given by rows."""
+    v = lambda i, j: F.col(lattice)[i][j]
+    minor = lambda i, j: v((i + 1) % 3, (j + 1) % 3) * v((i + 2) % 3, (j + 2) % 3) - v((i + 1) % 3, (j + 2) % 3) * v((i + 2) % 3, (j + 1) % 3)
+    det = sum(v(0, j) * minor(0, j) for j in range(3))
+    return [(F.col("x") * minor(i, 0) + F.col("y") * minor(i, 1) + F.col("z_") * minor(i, 2)) / det for i in range(3)]
+
+
+def _cell(lattice: str = "lattice") -> list[Column]:
+    """Lengths and angles (degrees) of a lattice."""
+    dot = lambda i, j: sum(F.col(lattice)[i][k] * F.col(lattice)[j][k] for k in range(3))
+    length = [F.sqrt(dot(i, i)) for i in range(3)]
+    return length + [F.degrees(F.acos(dot(i, j) / (length[i] * length[j]))) for i, j in ((1, 2), (0, 2), (0, 1))]
+
+
+def to_cif(atoms: DataFrame, frames: DataFrame) -> DataFrame:
+    """(path, text): the first frame of each periodic file as a CIF in P 1, labels counted per element."""
+    number = lambda c: F.format_string("%.8f", c)
+    label = F.row_number().over(Window.partitionBy("path", "symbol").orderBy("atom"))
+    rows = atoms.where("frame = 0").join(frames.where("frame = 0 and lattice is not null").select("path", "lattice"), "path").withColumn("label", F.concat("symbol", label))
+    line = F.concat_ws(" ", "label", "symbol", *[number(c) for c in _fractions()])
+    body = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("atom", line.alias("line")))).alias("rows"), F.first("lattice").alias("lattice"))
+    keys = ("length_a", "length_b", "length_c", "angle_alpha", "angle_beta", "angle_gamma")
+    head = [F.concat(F.lit(f"_cell_{k} "), number(c)) for k, c in zip(keys, _cell())]
+    fixed = "_space_group_name_H-M_alt 'P 1'\nloop_\n_space_group_symop_operation_xyz\nx,y,z\nloop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z"
+    return body.select("path", F.concat_ws("\n", F.lit("data_structure"), *head, F.lit(fixed), F.concat_ws("\n", F.transform("rows", lambda r: r["line"])), F.lit("")).alias("text"))
+
+
+def to_pdb(atoms: DataFrame, frames: DataFrame) -> DataFrame:
+    """(path, text): each frame a MODEL, atoms as HETATM of one residue, the cell as CRYST1."""
+    name = F.rpad(F.when(F.length("symbol") == 1, F.concat(F.lit(" "), F.upper("symbol"))).otherwise(F.upper("symbol")), 4, " ")
+    line = F.concat(F.lit("HETATM"), F.format_string("%5d", F.col("atom") + 1), F.lit(" "), name, F.lit(" UNK A   1    "), F.format_string("%8.3f%8.3f%8.3f", "x", "y", "z_"), F.lit("  1.00  0.00          "), F.lpad(F.upper("symbol"), 2, " "))
+    rows = atoms.groupBy("path", "frame").agg(F.array_sort(F.collect_list(F.struct("atom", line.alias("line")))).alias("rows"))
+    block = F.concat_ws("\n", F.format_string("MODEL     %4d", F.col("frame") + 1), F.concat_ws("\n", F.transform("rows", lambda r: r["line"])), F.lit("ENDMDL"))
+    crystal = F.when(F.col("lattice").isNotNull(), F.format_string("CRYST1%9.3f%9.3f%9.3f%7.2f%7.2f%7.2f P 1           1", *_cell()))
+    cell = frames.where("frame = 0").select("path", crystal.alias("cell"))
+    text = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("frame", block.alias("block")))).alias("blocks")).join(cell, "path")
+    return text.select("path", F.concat_ws("\n", "cell", F.concat_ws("\n", F.transform("blocks", lambda b: b["block"])), F.lit("END"), F.lit("")).alias("text"))
+
+
 def omitted_sections(sections: DataFrame, exported: DataFrame) -> DataFrame:
     """(archive, omitted): what an export left out, the ids of sections that ``exported`` (archive, id) lacks."""
     return sections.join(exported, ["archive", "id"], "left_anti").groupBy("archive").agg(F.array_sort(F.collect_set("id")).alias("omitted"))

@@ -174,6 +174,17 @@ def test_tables_of_a_sound_archive(spark, folder):
     assert A.members(arc, payloads=False).where("size is not null").count() == 0
 
 
+def test_repack_and_extract(spark, folder, tmp_path):
+    arc = A.read_archives(spark, str(folder), "{orphan,superseded,not_a_zip}.arc")
+    out = A.repack(arc, str(tmp_path / "out")).collect()
+    assert sorted(r.archive for r in out) == ["orphan.arc", "superseded.arc"]
+    for r in out:
+        names = zipfile.ZipFile(r.path).namelist()
+        assert len(names) == len(set(names)) == 8 and names[-1] == "manifest.json"
+    assert [bytes(r.content) for r in A.extract(A.read_archives(spark, str(folder), "sound.arc"), "run", "log").collect()] == [b"done on host7\n"]
+    assert A.extract(A.read_archives(spark, str(folder), "sha.arc"), "ir", "spectrum").count() == 0
+
+
 def test_duplicate_keys_and_nan_in_manifests(spark, tmp_path):
     text = '{"%s": 1, "a": NaN, "source": {"program": "x"}, "source": {"program": "p", "version": "1", "calculation": "c"}, "sections": []}' % VERSION_KEY
     (tmp_path / "x.arc").write_bytes(build({"sections": []}, manifest=text))

@@ -98,6 +98,16 @@ def test_mmcif_xsf_molden(spark, texts):
         assert {r.path for r in T.parse(texts(""), p, "problems").collect()} == {"f", "broken"}
 
 
+def test_cif_and_pdb_round_trips(spark, texts):
+    atoms, frames = T.parse(texts(POSCAR), "poscar"), T.parse(texts(POSCAR), "poscar", "frames")
+    want = [(r.symbol, r.x, r.y, r.z_) for r in atoms.orderBy("atom").collect()]
+    for write, parser in ((T.to_cif, "cif"), (T.to_pdb, "pdb")):
+        text = write(atoms, frames)
+        back = [(r.symbol, r.x, r.y, r.z_) for r in T.parse(text, parser).orderBy("atom").collect()]
+        assert [b[0] for b in back] == [w[0] for w in want] and [x for b in back for x in b[1:]] == pytest.approx([x for w in want for x in w[1:]], abs=1e-3)
+        assert T.parse(text, parser, "frames").first().lattice[2][2] == pytest.approx(4.0)
+
+
 def test_omitted_sections(spark):
     s = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "archive string, id string")
     assert [(r.archive, r.omitted) for r in T.omitted_sections(s, s.where("id in ('x', 'z')")).collect()] == [("a", ["y"])]
