@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.tables import durable
+
 #: A-Z lower-cased; every ASCII byte that is neither digit nor letter becomes a space. Bytes from 0x80 on are kept.
 _FOLD = bytes(
     (b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20)
@@ -35,22 +34,6 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: lineage ends there, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python workers in batches of at most 8 MB, unless the session has limits of its own."""
     for key, usual, value in (("maxBytesPerBatch", ("67108864b", "64MB", str(2**26)), "8m"), ("maxRecordsPerBatch", ("10000",), "2000")):
@@ -94,5 +77,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == sign:
             break
         sign = now
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
     tops = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)
