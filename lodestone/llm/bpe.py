@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -36,15 +37,20 @@ class WordBpe:
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.tokens = {k: t for t, k in self.ids.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        self.decimal = {k: str(k) for k in self.tokens}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # a pair is one number: first symbol * 2^16 + second
+        self.rank = {self.ids[a] << 16 | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.pairs = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
         made: dict[int, int] = {}
-        for rank, whole in self.merges.values():
+        for rank, (_, _, whole) in enumerate(self.pairs):
             made[whole] = max(rank, made.get(whole, -1))
         # then a merge never makes a pair of a lower rank, and ascending ranks over all words are each word's own order
-        if any(made.get(a, -1) > rank or made.get(b, -1) > rank for (a, b), (rank, _) in self.merges.items()):
-            raise ValueError("a merge comes before the merge that makes its part")
-        self.letters = _byte_letters()
+        if max(self.ids.values()) >= 1 << 16 or any(made.get(a, -1) > rank or made.get(b, -1) > rank for rank, (a, b, _) in enumerate(self.pairs)):
+            raise ValueError("a merge comes before the merge that makes its part, or there are too many symbols")
+        letters = _byte_letters()
+        self.inner = [self.ids[letters[b]] for b in range(256)]
+        self.last = [self.ids[letters[b] + self.end] for b in range(256)]
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.space = regex.compile(r"\s+")
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -55,6 +61,10 @@ class WordBpe:
         self.known: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.chunks.clear()
+
     def normal(self, text: str) -> str:
         # each character by itself is lower-cased, so that a final sigma isn't a case of its own
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
@@ -81,32 +91,30 @@ class WordBpe:
         if len(self.known) + len(words) > KEEP_WORDS:
             self.known.clear()
         todo = [w for w in words if w not in self.known]
-        ids, letters, end, merges = self.ids, self.letters, self.end, self.merges
+        inner, last, rank_of, pairs = self.inner, self.last, self.rank.get, self.pairs
         symbol: list[int] = []
         starts: list[int] = []
         for w in todo:
             starts.append(len(symbol))
-            parts = [letters[b] for b in w.encode("utf-8")]
-            parts[-1] += end
-            symbol += [ids[p] for p in parts]
+            raw = w.encode("utf-8")
+            symbol += [inner[b] for b in raw]
+            symbol[-1] = last[raw[-1]]
             symbol.append(-1)
         n = len(symbol)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         places: dict[int, list[int]] = {}
-        pair_of: dict[int, tuple[int, int, int]] = {}
-        for i in range(n - 1):
-            pair = (symbol[i], symbol[i + 1])
-            if (m := merges.get(pair)) is not None:
-                if m[0] in places:
-                    places[m[0]].append(i)
+        for i, (x, y) in enumerate(zip(symbol, symbol[1:])):
+            if x >= 0 and y >= 0 and (r := rank_of(x << 16 | y)) is not None:
+                if r in places:
+                    places[r].append(i)
                 else:
-                    places[m[0]], pair_of[m[0]] = [i], (*pair, m[1])
+                    places[r] = [i]
         active = list(places)
         heapq.heapify(active)
         while active:
             rank = heapq.heappop(active)
             at = places.pop(rank)
-            a, b, whole = pair_of[rank]
+            a, b, whole = pairs[rank]
             at.sort()
             for i in at:
                 j = right[i]
@@ -116,14 +124,19 @@ class WordBpe:
                 k = right[i] = right[j]
                 if k < n:
                     left[k] = i
-                p = left[i]
-                for x, y in ((p, i), (i, k)):
-                    if x >= 0 and y < n and (m := merges.get((symbol[x], symbol[y]))) is not None:
-                        if m[0] in places:
-                            places[m[0]].append(x)
+                    if (y := symbol[k]) >= 0 and (r := rank_of(whole << 16 | y)) is not None:
+                        if r in places:
+                            places[r].append(i)
                         else:
-                            places[m[0]], pair_of[m[0]] = [x], (symbol[x], symbol[y], m[1])
-                            heapq.heappush(active, m[0])
+                            places[r] = [i]
+                            heapq.heappush(active, r)
+                p = left[i]
+                if p >= 0 and (x := symbol[p]) >= 0 and (r := rank_of(x << 16 | whole)) is not None:
+                    if r in places:
+                        places[r].append(p)
+                    else:
+                        places[r] = [p]
+                        heapq.heappush(active, r)
         for w, i in zip(todo, starts):
             out = []
             while i < n and symbol[i] != -1:
@@ -150,10 +163,10 @@ class WordBpe:
         new = [c for c in {c for words in cut if words for c in words} if c not in self.chunks]
         parts = [self.plain_split.findall(c) for c in new]
         self.learn({w for p in parts for w in p})
-        known, chunks = self.known, self.chunks
+        known, chunks, decimal, token = self.known, self.chunks, self.decimal, self.tokens
         for c, p in zip(new, parts):
-            ids = [k for w in p for k in known[w]]
-            chunks[c] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            ids = known[p[0]] if len(p) == 1 else [k for w in p for k in known[w]]
+            chunks[c] = (len(ids), " ".join([decimal[k] for k in ids]), " ".join([token[k] for k in ids]))
         rest = iter(self.encode([t for t, words in zip(texts, cut) if words is None]))
         out = []
         for words in cut:
@@ -210,6 +223,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool =
 
     def work(batches):
         model = _model(sent)
+        model.forget()
+        gc.disable()  # no cycles are made, and collections would walk all that is kept
         for batch in batches:
             texts, columns = [x.as_py() or "" for x in batch.column(at)], []
             if digests:
@@ -220,6 +235,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool =
             else:
                 columns = [pa.array([x for part in _runs(texts) for x in model.encode(part)], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *new])
+        gc.enable()
+        model.forget()  # an idle worker keeps the vocabulary only
 
     kinds = ("long", "string", "string") if digests else ("array<int>",)
     added = docs.select(*[F.lit(None).cast(k).alias(c) for c, k in zip(new, kinds)]).schema.fields
