@@ -60,7 +60,7 @@ def path_problem(path: Column) -> Column:
 
 def finite_number(text: Column) -> Column:
     """A finite number, also with a Fortran exponent D; null for anything else."""
-    value = F.expr("try_cast(x as double)") if isinstance(text, str) else F.translate(F.trim(text), "Dd", "Ee").try_cast("double")
+    value = F.translate(F.trim(text), "Dd", "Ee").try_cast("double")
     return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
 
