@@ -11,7 +11,7 @@ import pytest
 
 from lodestone.operators.rules import Corpus, Limits
 from lodestone.sources import archives as A
-from tests.fixtures import VERSION_KEY, atom, build, water
+from tests.fixtures import VERSION_KEY, build, water
 
 
 def section(spec, sid):

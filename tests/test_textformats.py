@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestone.sources import archives as A, textformats as T
+from lodestone.sources import textformats as T
 from lodestone.streaming import validation
 from tests.fixtures import build, water
 
