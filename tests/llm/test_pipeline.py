@@ -1,11 +1,7 @@
 """The pipeline's stages, each on what its predecessor kept, against what each must have done."""
 
-import re
-
-from pyspark.sql import functions as F
-
 import corpus_pipeline
-from lodestone.llm import bpe, pii
+from lodestone.llm import pii
 from lodestone.llm.common import durable
 
 DATA = "/root/testdata/sf0.001"
