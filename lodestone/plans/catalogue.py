@@ -7,10 +7,14 @@ dialects differ; queries that need more than one statement to scale are function
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..sources.tables import shared_dir
+from ..streaming.validation import run_to_table
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: (child table, child key, parent table, parent key)
@@ -189,7 +193,17 @@ def running_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("own", own).join(starts, "low").select("doc_id", (F.col("own") + F.col("start")).cast("long").alias("off"))
 
 
+def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event of each user, kept by a stream over the event files: a grouped maximum as its state."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    last = F.max(F.struct("ts", "event_id", "event_type")).alias("last")
+    newest = events.groupBy("user_id").agg(last).select("user_id", "last.event_id", "last.event_type")
+    return run_to_table(newest, f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}")
+
+
 FUNCTIONS = {
+    "stream_latest_status": (stream_latest_status, "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) t where rn = 1"),
     "ref_edges": (reference_edges, _edges_sql()),
     "capped_differences": (capped_differences, "select doc_id, n_chars, total, rn from (select doc_id, n_chars, count(*) over () as total, row_number() over (order by doc_id) as rn from documents where lang <> 'en') t where rn <= 20"),
     "running_offset": (running_offset, "select doc_id, cast(sum(n_chars) over (order by doc_id rows between unbounded preceding and current row) - n_chars as bigint) as off from documents"),

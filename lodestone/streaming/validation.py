@@ -33,3 +33,14 @@ def latest_versions(updates: DataFrame, keys: list[str], delay: str = "1 hour")
     A grouped maximum with a watermark on ``at``; run it in update mode.
     """
     return updates.withWatermark("at", delay).groupBy(*keys).agg(F.max(F.struct("at", "version", "status")).alias("last")).select(*keys, "last.version", "last.status")
+
+
+def run_to_table(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there and returns its last result, written as Parquet below ``folder``."""
+    spark = stream.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/result")
+
+    stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/result")
