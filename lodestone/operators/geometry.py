@@ -107,8 +107,9 @@ def expand_cell(atoms: DataFrame, ops: DataFrame, lattice: list[list[float]], ke
     """The atoms of the unit cell: every operator applied to every atom, copies on special positions merged.
 
     ``atoms``: ``keys`` (which crystal), atom, fx, fy, fz in fractions, and anything else. Each copy is moved by whole
-    cells so that the middle of its atoms lies in [0, 1). A copy of an atom within MERGE of an earlier copy that was
-    kept is left out, first kept wins, as sets of at most MOST_OPERATORS positions for each atom.
+    cells so that the middle of its atoms lies in [0, 1). ``ops`` must be a group with the identity first. A copy of an
+    atom within MERGE of an earlier copy that was kept is left out, first kept wins, as sets of at most MOST_OPERATORS
+    positions for each atom.
     Returns the atoms' columns with op, x, y, z (angstrom).
     """
     crossed = atoms.join(F.broadcast(ops), how="cross")  # bounded: MOST_OPERATORS rows for each atom
@@ -124,8 +125,10 @@ def expand_cell(atoms: DataFrame, ops: DataFrame, lattice: list[list[float]], ke
         return F.sqrt(sum(cart(d, k) * cart(d, k) for k in range(3))) < MERGE
 
     none = F.slice("copies", 1, 0)
-    kept = F.aggregate("copies", none, lambda s, c: F.when(F.exists(s, lambda e: near(e, c)), s).otherwise(F.concat(s, F.array(c))))
-    rows = per_atom.select(*keys, "own", F.explode(kept).alias("c"))
+    merged = F.aggregate("copies", none, lambda s, c: F.when(F.exists(s, lambda e: near(e, c)), s).otherwise(F.concat(s, F.array(c))))
+    # copies coincide only where the atom lies on an element of the group, hence where some copy meets the first
+    special = F.exists(F.slice("copies", 2, MOST_OPERATORS), lambda c: near(F.col("copies")[0], c))
+    rows = per_atom.select(*keys, "own", F.explode(F.when(special, merged).otherwise(F.col("copies"))).alias("c"))
     rows = rows.select(*keys, *[F.col("own")[c].alias(c) for c in rest], F.col("c.op").alias("op"), F.col("c.gx").alias("gx"), F.col("c.gy").alias("gy"), F.col("c.gz").alias("gz"))
     rows = rows.join(middle, [*keys, "op"])
     inside = [F.col(f"g{n}") - F.col(f"m{n}") for n in "xyz"]
