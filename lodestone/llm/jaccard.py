@@ -239,7 +239,8 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sets = points.where("n > 0 and key is not null")
     classes = durable(sets.groupBy("digest").agg(F.min("key").alias("id"), F.count("*").alias("copies")), "classes")
     # one row for each set: the others with its digest are dropped before their cells are unfolded
-    first = sets.join(classes.where("copies > 1").select("digest", F.col("id").alias("first")), "digest", "left").where("first is null or first = key")
+    copied = small(classes.where("copies > 1").select("digest", F.col("id").alias("first")), BROADCAST_IDS)
+    first = sets.join(copied, "digest", "left").where("first is null or first = key")
     nodes = first.select(F.col("key").alias("id"), "n", "counts", "cells")
     vectors = nodes.select("id", "n", "counts")
     entries = nodes.select("id", F.explode("cells").alias("cell"))
