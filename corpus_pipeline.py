@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestone.llm import bpe, decontam, jaccard, pii, quality_rules
 from lodestone.llm.common import durable
 
+#: Near duplicates here: sets of five-word shingles with a Jaccard similarity of at least 80 %.
+SHINGLE, LINK = 5, 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the base rules or the learned decision list reject."""
@@ -18,8 +21,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by shingle similarity."""
-    return jaccard.keep_one(docs)
+    """One document, the one with the smallest id, of each group linked by similarity of five-word shingles."""
+    return jaccard.keep_one(docs, shingle=SHINGLE, link=LINK)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

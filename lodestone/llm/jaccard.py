@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import components, durable, small, small_batches, space_words
 
-SHINGLE = 3
-#: Two sets link when 100 * intersection >= LINK * union.
-LINK = 90
+#: What ``op5_jaccard`` is fixed to: words of a shingle, and two sets link when 100 * intersection >= LINK * union.
+SHINGLE, LINK = 3, 90
+#: Below this threshold, neighbouring bands of sizes don't hold all linked sets any more.
+LEAST_LINK = 75
 #: Coordinates of a count vector: shingles are hashed into so many groups.
 GROUPS = 64
 #: Sizes of one band differ by less than this factor; sets of one band are cut into equally many cells.
@@ -25,20 +26,20 @@ LEAF = 32
 TILE = 512
 
 
-def shingles(text: str | None) -> set[bytes]:
-    """Distinct 3-word shingles, words joined by a space; a shorter text is one shingle, one without words none."""
+def shingles(text: str | None, size: int = SHINGLE) -> set[bytes]:
+    """Distinct shingles of ``size`` words joined by a space; a shorter text is one shingle, one without words none."""
     w = space_words(text)
-    if len(w) < SHINGLE:
+    if len(w) < size:
         return {b" ".join(w)} if w else set()
-    return {b" ".join(x) for x in zip(w, w[1:], w[2:])}
+    return {b" ".join(x) for x in zip(*(w[k:] for k in range(size)))}
 
 
-def most_apart(least: int) -> int:
+def most_apart(least: int, link: int = LINK) -> int:
     """Shingles in which two linked sets may differ at most, if the smaller one has ``least``.
 
-    With I >= 0.9 U and I <= least, U - I <= I / 9.
+    With 100 I >= link U and I <= least, U - I <= I (100 - link) / link.
     """
-    return least * (100 - LINK) // LINK
+    return least * (100 - link) // link
 
 
 def _edges_of_bands(most: int = 1 << 40) -> list[int]:
@@ -51,19 +52,24 @@ def _edges_of_bands(most: int = 1 << 40) -> list[int]:
 _BANDS = _edges_of_bands()
 
 
-def cells_of(hashes: np.ndarray) -> np.ndarray:
+def cells_of(hashes: np.ndarray, link: int = LINK) -> np.ndarray:
     """Numbers of the cells of a set with these shingle hashes.
 
     The hash space is cut into B slices, B one more than what two linked sets of the band can differ in; so two linked
     sets agree in all of at least one slice (pigeonhole). A cell is (band, slice, everything the set has there). A set
     near the low end of its band may link with one of the band below and is given that band's cells too.
+
+    Below LINK the slices would be so thin that many are empty, and their cells would hold unlike sets. Then there are
+    half as many slices more, S; linked sets agree in S + 1 of them at least, so they still share one of the B cells that
+    come first in an order of all cells: those with most shingles first, ties by number.
     """
     n, out = len(hashes), []
     band = int(np.searchsorted(_BANDS, n, side="right")) - 1
     for k in (band - 1, band):
-        if k < 0 or k < band and n * LINK > 100 * (_BANDS[band] - 1):
+        if k < 0 or k < band and n * link > 100 * (_BANDS[band] - 1):
             continue
-        slices = most_apart(_BANDS[k + 1] - 1) + 1
+        apart = most_apart(_BANDS[k + 1] - 1, link)
+        slices = apart + 1 + (apart // 2 if link < LINK else 0)
         at = (hashes >> np.uint64(20)) % np.uint64(slices)
         mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         content = np.zeros(slices, np.uint64)
@@ -71,23 +77,24 @@ def cells_of(hashes: np.ndarray) -> np.ndarray:
         sizes = np.bincount(at.astype(np.int64), minlength=slices).astype(np.uint64)
         code = content ^ (np.arange(slices, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((k + 1) * 0x165667B19E3779F9 % 2**64) + sizes)
         code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(code ^ (code >> np.uint64(32)))
+        code = code ^ (code >> np.uint64(32))
+        out.append(code if slices == apart + 1 else code[np.lexsort((code, -sizes.astype(np.int64)))[: apart + 1]])
     return np.concatenate(out).view(np.int64)
 
 
-def _point(batches):
+def _point(batches, shingle: int, link: int):
     """(key, text) -> (key, n, digest, counts, cells)."""
     for batch in batches:
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = shingles(text.as_py())
+            found = shingles(text.as_py(), shingle)
             if not found:
                 rows.append((key, 0, None, None, None))
                 continue
             h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
             counts = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
             # equal digests are equal sets: 128 bits over the sorted hashes of all shingles
-            rows.append((key, len(found), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), counts.tobytes(), cells_of(h).tolist()))
+            rows.append((key, len(found), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), counts.tobytes(), cells_of(h, link).tolist()))
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["key", "n", "digest", "counts", "cells"])
 
@@ -96,24 +103,25 @@ def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS)
 
 
-def _may_link(overlap: np.ndarray, total: np.ndarray) -> np.ndarray:
+def _may_link(overlap: np.ndarray, total: np.ndarray, link: int) -> np.ndarray:
     """Whether an overlap of at most ``overlap`` can reach the threshold for sizes that add up to ``total``."""
-    return 100 * overlap >= LINK * (total - overlap)
+    return 100 * overlap >= link * (total - overlap)
 
 
-def _bounded(batches):
+def _bounded(batches, link: int):
     """(a, b, na, nb, va, vb) -> the pairs whose summed coordinate minima can reach the threshold."""
     for batch in batches:
         va, vb = _vectors(batch.column(4)), _vectors(batch.column(5))
         total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        keep = _may_link(np.minimum(va, vb).sum(axis=1), total)
+        keep = _may_link(np.minimum(va, vb).sum(axis=1), total, link)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
 
 class RTree:
     """A packed R-tree over count vectors: points sorted by size and heaviest coordinates, leaves of LEAF, and their boxes."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, link: int = LINK):
+        self.link = link
         spread = np.argsort(-points.var(axis=0), kind="stable")[:3]
         self.order = np.lexsort((*[points[:, k] for k in spread], points.sum(axis=1)))
         self.points = points[self.order]
@@ -131,17 +139,17 @@ class RTree:
         for level in range(len(self.levels) - 1, -1, -1):
             low, high = self.levels[level][0][at], self.levels[level][1][at]
             bound = np.minimum(high, point).sum(axis=1)
-            at = at[_may_link(bound, size + low.sum(axis=1))]
+            at = at[_may_link(bound, size + low.sum(axis=1), self.link)]
             if level:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[level - 1][0])]
         at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = at[at < len(self.points)]
         own = self.points[at]
-        return self.order[at[_may_link(np.minimum(own, point).sum(axis=1), size + own.sum(axis=1))]]
+        return self.order[at[_may_link(np.minimum(own, point).sum(axis=1), size + own.sum(axis=1), self.link)]]
 
 
-def _tile_pairs(key, table):
+def _tile_pairs(table, link: int):
     """One tile of a cell, some of its points and some of its searches -> pairs that the R-tree can't rule out.
 
     ``large`` points belong to the cell's largest component; they are found by the others but don't search themselves.
@@ -152,7 +160,7 @@ def _tile_pairs(key, table):
     own, there = np.flatnonzero(asks), np.flatnonzero(~asks)
     lo, hi = [], []
     if len(own) and len(there):
-        tree = RTree(points[there])
+        tree = RTree(points[there], link)
         for k in own:
             near = there[tree.search(points[k])]
             near = near[(comp[near] != comp[k]) & (large[near] | (ids[near] > ids[k]))]
@@ -179,7 +187,7 @@ def _tiles(member: DataFrame, vectors: DataFrame) -> DataFrame:
     return point.union(search)
 
 
-def _verified(batches):
+def _verified(batches, shingle: int, link: int):
     """(a, b, ta, tb) -> the pairs whose shingle sets link."""
     kept: dict[int, set[bytes]] = {}
     for batch in batches:
@@ -189,10 +197,10 @@ def _verified(batches):
                 if k not in kept:
                     if sum(map(len, kept.values())) > 500_000 or len(kept) > 5_000:
                         kept.clear()
-                    kept[k] = shingles(t.as_py())
-            sx, sy = (kept.get(k) if k in kept else shingles(t.as_py()) for k, t in ((x, tx), (y, ty)))
+                    kept[k] = shingles(t.as_py(), shingle)
+            sx, sy = (kept.get(k) if k in kept else shingles(t.as_py(), shingle) for k, t in ((x, tx), (y, ty)))
             both = len(sx & sy)
-            if 100 * both >= LINK * (len(sx) + len(sy) - both):
+            if 100 * both >= link * (len(sx) + len(sy) - both):
                 a.append(x)
                 b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -202,7 +210,7 @@ def _verified(batches):
 BROADCAST_IDS = 1_000_000
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, link: int) -> DataFrame:
     """Pairs (a, b) of ids whose texts link. ``texts``: (id, text), one row each."""
     pairs = durable(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -210,11 +218,11 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
     t = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(t[0], "a").join(t[1], "b").select("a", "b", "ta", "tb")
-    return durable(both.mapInArrow(_verified, "a long, b long"), "links")
+    return durable(both.mapInArrow(lambda batches: _verified(batches, shingle, link), "a long, b long"), "links")
 
 
-def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Links documents whose 3-word shingle sets have a Jaccard similarity of at least 0.9, exactly.
+def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, link: int = LINK) -> DataFrame:
+    """Links documents whose sets of ``shingle``-word shingles have a Jaccard similarity of at least ``link`` %, exactly.
 
     1. Each text becomes a point (counts of its shingles in GROUPS groups) and a list of cells that no linked pair can
        miss. Equal sets are one node, named by the smallest key among them.
@@ -227,15 +235,17 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Returns (key, n_shingles, component, links): a row per row of ``docs``; ``component`` is the smallest key reachable,
     ``links`` the number of verified links of the row's set and of other copies that were needed to join it. Null and
     empty texts have no shingles and are their own component. Rows with equal keys are one document, whose
-    text is the smallest of theirs; rows with a null key have a null component.
+    text is the smallest of theirs; rows with a null key have a null component. ``link`` is 75 to 100.
     """
+    if shingle < 1 or not LEAST_LINK <= link <= 100:
+        raise ValueError(f"shingle must be 1 or more and link {LEAST_LINK} to 100")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     keyed, source = rows.where("key is not null"), rows
     repeated = bool(keyed.groupBy("key").count().where("count > 1").limit(1).count())
     if repeated:
         source = keyed.groupBy("key").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).union(rows.where("key is null"))
-    points = durable(source.mapInArrow(_point, "key long, n long, digest binary, counts binary, cells array<long>"), "points")
+    points = durable(source.mapInArrow(lambda batches: _point(batches, shingle, link), "key long, n long, digest binary, counts binary, cells array<long>"), "points")
     sets = points.where("n > 0 and key is not null")
     classes = durable(sets.groupBy("digest").agg(F.min("key").alias("id"), F.count("*").alias("copies")), "classes")
     # one row for each set: the others with its digest are dropped before their cells are unfolded
@@ -251,17 +261,17 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         va = vectors.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("va"))
         vb = vectors.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("vb"))
         both = pairs.join(va, "a").join(vb, "b").select("a", "b", "na", "nb", "va", "vb")
-        return both.mapInArrow(_bounded, "a long, b long")
+        return both.mapInArrow(lambda batches: _bounded(batches, link), "a long, b long")
 
     stars = inside.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     texts = source.where("key is not null").select(F.col("key").alias("id"), "text")
-    links = _verify(bounded(stars), texts)
+    links = _verify(bounded(stars), texts, shingle, link)
     found = components(links)
     member = inside.join(found, inside["id"] == found["node"], "left").select("cell", "id", F.coalesce("component", "id").alias("component"))
     member = durable(member, "members")
-    more = _tiles(member, vectors).groupBy("cell", "points", "searches").applyInArrow(_tile_pairs, "a long, b long").distinct()
+    more = _tiles(member, vectors).groupBy("cell", "points", "searches").applyInArrow(lambda key, table: _tile_pairs(table, link), "a long, b long").distinct()
     more = more.join(stars, ["a", "b"], "left_anti")
-    links = links.union(_verify(more, texts))
+    links = links.union(_verify(more, texts, shingle, link))
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     of_class = classes.join(found, classes["id"] == found["node"], "left").join(degree.withColumnRenamed("node", "id"), "id", "left")
@@ -271,12 +281,12 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return keyed.select(F.col("key").alias(key)).join(out, key).unionByName(out.where(F.col(key).isNull())) if repeated else out
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, link: int = LINK) -> DataFrame:
     """The rows of ``docs`` without those that are linked to one with a smaller key; repeated rows of a key stay one.
 
     Rows with a null key stay.
     """
-    found = link_documents(docs, text, key)
+    found = link_documents(docs, text, key, shingle, link)
     gone = found.where(F.col(key) != F.col("component")).select(F.col(key).alias("_gone")).distinct()
     return docs.join(small(gone, BROADCAST_IDS), F.col(key) == F.col("_gone"), "left_anti")
 
