@@ -39,6 +39,8 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 _OF = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
 #: Rounds in which colliding surrogates are drawn again.
 ROUNDS = 20
+#: From this draw on a surrogate is longer than its entity, and more so with each draw: no list or pattern is too small.
+LONGER = 6
 
 
 def entities(text: str | None) -> list[tuple[str, int, int]]:
@@ -99,8 +101,30 @@ def _name(word: str, gender: str, key: bytes) -> str:
 def surrogate(kind: str, text: str, key: bytes, draw: int = 0) -> str:
     """The replacement of an entity: of its kind and format, fixed by key and draw, one-to-one for each draw.
 
-    It never equals ``text`` where the pattern has another text.
+    It never equals ``text`` where the pattern has another text. From draw LONGER on it is lengthened by keyed letters
+    (a name's last word, an e-mail's local part) or digits; an IP address becomes one of version 6.
     """
+    out = _drawn(kind, text, key, draw)
+    if draw < LONGER:
+        return out
+    value = int.from_bytes(hmac.digest(key, f"longer|{kind}|{draw}|{text}".encode("utf-8", "surrogatepass"), "sha512"), "big")
+    size = 8 + 2 * (draw - LONGER)
+    if kind == "ip":
+        return _version6(value)
+    alphabet = ALPHABETS[0]
+    if kind in ("person", "email"):
+        alphabet = ALPHABETS[5] if kind == "person" and out[-1] >= "Ѐ" else ALPHABETS[1]
+    more = "".join(alphabet[value // len(alphabet) ** k % len(alphabet)] for k in range(size))
+    return out.replace("@", more + "@") if kind == "email" else out + more
+
+
+def _version6(value: int) -> str:
+    """A unique local address of IP version 6."""
+    return ":".join(["fd" + f"{value % 2**8:02x}", *(f"{value >> 8 + 16 * k & 0xFFFF:04x}" for k in range(7))])
+
+
+def _drawn(kind: str, text: str, key: bytes, draw: int) -> str:
+    """A surrogate of the entity's own length."""
     own = hmac.digest(key, f"{kind}|{draw}".encode(), "sha256")
     for _ in range(4):
         if kind == "email":
@@ -148,7 +172,8 @@ def draws(found: DataFrame, key: bytes) -> DataFrame | None:
     """(id, draw) of the entities whose first surrogate collides; None where none does.
 
     ``found``: (id, kind, text), one row each. Surrogates that two entities share, or that equal another entity, are
-    drawn again for all but the smallest id, until none collides; ValueError if a pattern has too few texts for that. Comparisons are grouped counts and joins by hash.
+    drawn again for all but the smallest id, until none collides; from draw LONGER on the room for them grows with each
+    draw, so the number of entities doesn't matter. Comparisons are grouped counts and joins by hash.
     """
     @F.pandas_udf("string")
     def drawn(kind, text, draw):
@@ -165,7 +190,7 @@ def draws(found: DataFrame, key: bytes) -> DataFrame | None:
             break
         changed = True
         if round_ == ROUNDS - 1:
-            raise ValueError("surrogates still collide: the patterns of some kind leave too little room for its entities")
+            raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
         now = now.drop("made").join(losers.withColumn("again", F.lit(1)), "id", "left").withColumn("draw", F.col("draw") + F.coalesce("again", F.lit(0))).drop("again")
     return now.where("draw > 0").select("id", "draw") if changed else None
 

@@ -281,6 +281,23 @@ def test_pii_collisions_are_drawn_again(spark):
     assert again and len(set(made)) == len(rows) and not set(made) & {t for _, _, t in rows}
 
 
+def test_pii_lists_and_patterns_that_are_used_up(spark):
+    # every listed name after one title, every address of one letter at one letter: no other text of the kind is free
+    names = [f"{t} {n}" for t, of in (("Mr.", ("m", "latin")), ("Frau", ("f", "cyrillic"))) for n in pii.NAMES[of]]
+    mails = [f"{a}@{b}.de" for a in pii.ALPHABETS[1] for b in pii.ALPHABETS[1]]
+    rows = [(k, f"from {x}, again.") for k, x in enumerate(names + mails)]
+    got = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    made = [r.text[5:-8] for r in got]
+    assert len(got) == len(rows) == len(set(made)) and not set(made) & {*names, *mails}
+    for r in got:
+        (s,), old = r.surrogates, rows[r.doc_id][1]
+        assert pii.entities(r.text) == [(s.kind, 5, len(r.text) - 8)] and r.text[5:].split(" ")[0] == old[5:].split(" ")[0] or s.kind == "email"
+    ips = {pii.surrogate("ip", f"10.0.0.{k}", b"k", pii.LONGER) for k in range(50)}
+    import ipaddress
+
+    assert len(ips) == 50 and all(ipaddress.ip_address(x).version == 6 for x in ips)
+
+
 def test_decontamination_against_brute_force(spark, docs, awkward, empty):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet").select(F.col("item_id").cast("string"), "text").union(spark.createDataFrame([("e", ""), ("n", None), ("two", "MIT License"), (None, "the of and"), ("two", "MIT License"), ("rep", "the of and " * 4)], "item_id string, text string"))
     windows = {}
