@@ -18,9 +18,22 @@ NAMES = {
     ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Ксения Мария Нина Ольга Софья".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Олег Павел".split(),
 }
-#: Titles that precede a name, and their gender.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Madame": "f", "Monsieur": "m", "Mme": "f"}
-_NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zà-öø-ÿа-я]+"
+#: Titles that precede a name, and their gender where they tell it.
+TITLES = {
+    "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Mx": None, "Sir": "m", "Dame": "f", "Lady": "f", "Dr": None, "Prof": None, "Doctor": None, "Professor": None,
+    "Herr": "m", "Herrn": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f", "Srta": "f", "Don": "m", "Doña": "f", "Dra": "f",
+    "Madame": "f", "Mademoiselle": "f", "Monsieur": "m", "Mme": "f", "Mlle": "f", "Docteur": None, "Professeur": None, "Doktor": None,
+    "г-н": "m", "г-жа": "f", "Г-н": "m", "Г-жа": "f", "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f",
+    "доктор": None, "Доктор": None, "профессор": None, "Профессор": None, "д-р": None, "Д-р": None, "проф": None, "Проф": None,
+}
+#: Words inside a name that aren't replaced.
+PARTICLES = "van von vom der den dem de del della delle di da das do dos du des la las le los el al bin bint ibn ben ter ten te zu zum zur af av y фон де ван".split()
+_LETTERS = [c for c in map(chr, (*range(0x41, 0x250), *range(0x400, 0x530))) if c.isalpha()]
+_UPPER, _LOWER = ("".join(c for c in _LETTERS if test(c)) for test in (str.isupper, str.islower))
+#: A word of a name: McDonald, O'Brien, Anne-Marie, Łukasz; without a possessive 's.
+_NAME = rf"[{_UPPER}](?:(?:(?!['’]s\b)['’-])?[{_UPPER}{_LOWER}])*"
+_TITLE = r"(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(?:\.[ \u00a0]?|[ \u00a0])[ \u00a0]*"
+_PART = rf"(?:(?:{'|'.join(PARTICLES)})[ \u00a0]+)*(?:[dDlL]['’])?(?!{_TITLE})(?:{_NAME}(?<=\w\w)|[{_UPPER}]\.(?=[ \u00a0]?[{_UPPER}]))"
 #: In order of preference where matches overlap.
 KINDS = (
     ("email", r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -29,13 +42,16 @@ KINDS = (
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
-    ("person", r"\b(?:" + "|".join(TITLES) + r")\.? " + _NAME + r"(?: " + _NAME + r")?"),
+    ("person", rf"\b(?:{_TITLE})+{_PART}(?:(?:[ \u00a0]+|(?<=\.)){_PART})*"),
 )
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
 #: What a text must hold to have any entity.
-_GATE = re.compile(r"@|\d{2}|\b(?:" + "|".join(TITLES) + r")\.? ")
+_GATE = re.compile(rf"@|\d{{2}}|\b{_TITLE}")
+_TITLED, _WORD, _PIECE = re.compile(rf"(?:{_TITLE})+"), re.compile(rf"(?<!\w){_NAME}"), re.compile(rf"[{_UPPER}][{_UPPER}{_LOWER}]+")
 #: Alphabets; a character keeps its alphabet, so script, case and format stay.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
+#: The letters of names beyond these: Ł, Š, Ё and others, by script and case.
+ALPHABETS += tuple("".join(c for c in case if not any(c in a for a in ALPHABETS) and (c >= "Ѐ") == cyrillic) for case in (_LOWER, _UPPER) for cyrillic in (False, True))
 _OF = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
 #: Rounds in which colliding surrogates are drawn again.
 ROUNDS = 20
@@ -50,6 +66,44 @@ def entities(text: str | None) -> list[tuple[str, int, int]]:
     return [(m.lastgroup, m.start(), m.end()) for m in _PATTERN.finditer(text)]
 
 
+def further_mentions(text: str, found: list[tuple[str, int, int]], made: list[str]) -> list[tuple[int, int, int, str]]:
+    """(start, end, number in ``found``, replacement) of the other mentions of the persons' name words in the text.
+
+    ``made``: the surrogates of ``found``. A word that several persons have follows the last of them named before it,
+    else the first. Parts of a hyphenated name are known by themselves too; single letters aren't.
+    """
+    parts: list[tuple[int, dict[str, str]]] = []
+    known: dict[str, tuple[int, str]] = {}
+    for k, ((kind, a, b), new) in enumerate(zip(found, made)):
+        if kind == "person":
+            own = {}
+            for was, now in zip(_names(text[a:b])[1][1::2], _names(new)[1][1::2]):
+                own |= {w: n for w, n in [(was, now), *zip(_PIECE.findall(was), _PIECE.findall(now))] if len(w) > 1}
+            parts.append((k, own))
+    if not parts:
+        return []
+    for k, own in reversed(parts):
+        known |= {w: (k, n) for w, n in own.items()}
+    out, ahead, spans = [], iter(parts), [*found, ("", len(text), len(text))]
+    last = 0
+    for kind, a, b in spans:
+        for m in _WORD.finditer(text, last, a):
+            for x in [m] if m[0] in known else _PIECE.finditer(text, m.start(), m.end()):
+                if x[0] in known:
+                    out.append((x.start(), x.end(), *known[x[0]]))
+        if kind == "person":
+            k, own = next(ahead)
+            known |= {w: (k, n) for w, n in own.items()}
+        last = b
+    return out
+
+
+def _names(text: str) -> tuple[str, list[str]]:
+    """A person's titles, and the rest: what is between the words of the name, and at odd places these words."""
+    head = _TITLED.match(text)[0]
+    return head, re.split(f"({_NAME})", text[len(head) :])
+
+
 def _permuted(value: int, size: int, key: bytes) -> int:
     """A keyed permutation of 0 .. size - 1: a Feistel network on the next even number of bits, walked into range."""
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
@@ -85,15 +139,23 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
-def _name(word: str, gender: str, key: bytes) -> str:
+def _name(word: str, gender: str | None, key: bytes) -> str:
     """A name of the same gender and script: listed names change places among themselves, others keep their pattern."""
     for (g, _), names in NAMES.items():
-        if word in names and g == gender:
+        if word in names and gender in (g, None):
             return names[_permuted(names.index(word), len(names), key)]
     script = "cyrillic" if word[0] >= "Ѐ" else "latin"
-    listed = {x for (g, s), names in NAMES.items() if g == gender and s == script for x in names}
+    listed = {x for (g, s), names in NAMES.items() if gender in (g, None) and s == script for x in names}
+    out = _like(word, key)
+    while out in listed or out in TITLES:
+        out = _like(out, key)
+    return out
+
+
+def _further_name(word: str, key: bytes) -> str:
+    """A word like ``word`` that isn't a title."""
     out = _like(word, key)
-    while out in listed:
+    while out in TITLES:
         out = _like(out, key)
     return out
 
@@ -150,9 +212,10 @@ def _drawn(kind: str, text: str, key: bytes, draw: int) -> str:
                 chars[k] = c
             out = "".join(chars)
         elif kind == "person":
-            title, *names = text.split(" ")
-            gender = TITLES[title.rstrip(".")]
-            out = " ".join([title, _name(names[0], gender, own), *[_like(x, own) for x in names[1:]]])
+            head, rest = _names(text)
+            gender = next((g for t in re.findall(r"[\w-]+", head) if (g := TITLES[t])), None)
+            rest[1::2] = [_name(rest[1], gender, own), *[_further_name(x, own) for x in rest[3::2]]]
+            out = head + "".join(rest)
         elif kind == "iban":
             out = text[:2] + _like(text[2:], own)
         else:
@@ -199,8 +262,8 @@ def pseudonymize(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the entities of ``text`` replaced, and ``surrogates``.
 
     ``surrogates``: array of (kind, start, end, id), offsets in the original text in code points; ``id`` is the same for
-    all mentions of an entity in all rows. E-mail and IP addresses, IBANs, phone, social security and card numbers, and
-    names after a title are replaced by others of the same kind, script, gender and format, as the key ``secret`` has
+    all mentions of an entity in all rows. E-mail and IP addresses, IBANs, phone, social security and card numbers,
+    names after a title, and the words of such a name elsewhere in the same text are replaced by others of the same kind, script, gender and format, as the key ``secret`` has
     it. Equal entities get equal surrogates everywhere; different ones different surrogates, none of which is itself an
     entity of the table (checked over all distinct entities, and drawn again). Null texts stay null; texts without
     entities stay as they are; repeated rows are treated alike.
@@ -230,11 +293,16 @@ def pseudonymize(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
             extra = batch.column(batch.num_columns - 1).to_pylist() if own in batch.schema.names else [None] * batch.num_rows
             for x, more in zip(batch.column(at), extra):
                 content, drawn = x.as_py(), {d["id"]: d["draw"] for d in more or []}
+                found = entities(content)
+                ids = [identity(k, content[a:b], key) for k, a, b in found]
+                made = [surrogate(k, content[a:b], key, drawn.get(i, 0)) for (k, a, b), i in zip(found, ids)]
+                every = [(a, b, k, new) for k, ((_, a, b), new) in enumerate(zip(found, made))]
+                if any(k == "person" for k, _, _ in found):
+                    every = sorted(every + further_mentions(content, found, made))
                 parts, spans, last = [], [], 0
-                for k, a, b in entities(content):
-                    i = identity(k, content[a:b], key)
-                    parts += [content[last:a], surrogate(k, content[a:b], key, drawn.get(i, 0))]
-                    spans.append({"kind": k, "start": a, "end": b, "id": i})
+                for a, b, k, new in every:
+                    parts += [content[last:a], new]
+                    spans.append({"kind": found[k][0], "start": a, "end": b, "id": ids[k]})
                     last = b
                 texts.append("".join([*parts, content[last:]]) if spans else content)
                 marks.append(spans)

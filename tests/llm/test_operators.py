@@ -281,6 +281,23 @@ def test_pii_collisions_are_drawn_again(spark):
     assert again and len(set(made)) == len(rows) and not set(made) & {t for _, _, t in rows}
 
 
+def test_pii_whole_names_and_their_further_mentions(spark):
+    whole = ["Mr. Juan Carlos Perez", "Mrs Anne-Marie Smith", "Mr Ludwig van Beethoven", "Dr. Meredith Grey", "Prof. Dr. Łukasz O'Brien", "г-н Иван Петров", "Dr J. R. Tolkien", "Madame Marie d'Arc", "Herr von Moltke", "доктор Ольга Сёмина", "Frau de la Cruz Lopez", "Mr. McDonald"]
+    for x in whole:
+        text = f"Then {x}'s friend met {x}, who left. But he"
+        a = text.index(x)
+        assert pii.entities(text) == [("person", a, a + len(x)), ("person", a + len(x) + 14, a + 2 * len(x) + 14)], x
+    assert [t[1:] for t in pii.entities("Mr. Paul Herr Karl")] == [(0, 8), (9, 18)] and not pii.entities("Dr. a 3") and not pii.entities("Mr A b")
+    rows = [(1, "Perez knew Mr. Juan Carlos Perez. Juan Perez and Mrs Anne-Marie Smith spoke; Marie Smith's mail smith@Perez.com, Perezoso. O'Brien left Dr O'Brien."), (2, "Perez and Juan without a title"), (3, "Mr. Juan Carlos Perez again")]
+    one, two, three = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    w = one.text.split(" ")
+    assert w[0] + "." == w[5] and w[6] == w[3] and w[7] == w[0] and w[10].split("-")[1] == w[13] and w[11] + "'s" == w[14]
+    assert w[18] == w[21][:-1] and "Perezoso." in w and not {"Perez", "Juan", "Carlos", "Smith", "Marie", "O'Brien"} & set(re.findall(r"[\w']+", one.text))
+    assert two.text == rows[1][1] and not two.surrogates and three.text == " ".join(w[2:5] + [w[0]]) + " again"
+    person = [s for s in one.surrogates if s.kind == "person"]
+    assert len(person) == 9 and len({s.id for s in person}) == 3 and three.surrogates[0].id in {s.id for s in person}
+
+
 def test_pii_lists_and_patterns_that_are_used_up(spark):
     # every listed name after one title, every address of one letter at one letter: no other text of the kind is free
     names = [f"{t} {n}" for t, of in (("Mr.", ("m", "latin")), ("Frau", ("f", "cyrillic"))) for n in pii.NAMES[of]]
