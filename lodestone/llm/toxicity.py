@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, functions as F
 from .common import durable, fresh, small_batches
 
 #: Documents to learn from, at most so many of each class (those with the lowest hash): a documented bound.
-TRAINING_DOCS = 3000
+TRAINING_DOCS = 4000
 #: A token's traits are its word and its first letters of these lengths.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Traits with a weight, at most; also the bound on what is sent to the executors.
 MOST_TRAITS = 20_000
 #: Tokens of a chain; longer lines are cut into chains of this length.
 CHAIN = 64
-STEPS, RATE, DECAY = 25, 0.4, 0.02
-#: Marginals up to this one count for nothing in a document's score.
+STEPS, RATE, DECAY = 30, 0.35, 0.02
+#: Marginals up to this one aren't summed in a document's score; its largest marginal is over all tokens.
 FAINT = 0.05
 #: Words whose emissions a task keeps.
 KEEP_WORDS = 400_000
@@ -42,8 +42,8 @@ def chains(text: str | None) -> list[list[str]]:
     return out
 
 
-def forward_backward(emission: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Marginals of the second state, pair marginals summed, and log partition of padded chains.
+def forward_backward(emission: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray, counted: bool = True):
+    """Marginals of the second state, pair marginals summed (zeros unless ``counted``), and log partition of padded chains.
 
     ``emission``: (chains, steps) score of the second state over the first. Probabilities are scaled at each step.
     """
@@ -67,6 +67,8 @@ def forward_backward(emission: np.ndarray, length: np.ndarray, trans: np.ndarray
         b = np.stack([m[0, 0] * w[:, 0] + m[0, 1] * w[:, 1], m[1, 0] * w[:, 0] + m[1, 1] * w[:, 1]], axis=1)
         on = live[t + 1]
         beta[t] = np.where(on[:, None], b, 1.0)
+        if not counted:
+            continue
         x = alpha[t][on][:, :, None] * m[None] * w[on][:, None, :]
         pairs += (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     g = alpha * beta
@@ -132,34 +134,54 @@ class Crf:
         return low if low > -29 else -np.inf
 
     def marginals(self, texts: list[str | None], known: dict) -> list[list[tuple[int, np.ndarray]]]:
-        """For each text: (number of its first token, marginals of its tokens) of the chains that may matter."""
+        """For each text: (number of its first token, marginals of its tokens) of the chains that may matter.
+
+        Chains without a marginal above FAINT matter where the text has no other: they hold its largest marginal then.
+        """
         get, quiet, chosen, lengths, owners = known.__getitem__, self.quiet, [], [], []
+        out: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
+        below = []
         for k, text in enumerate(texts):
-            n = 0
+            n, faint = 0, []
             for c in chains(text):
                 e = list(map(get, c))
                 if max(e) > quiet:
                     chosen += e
                     lengths.append(len(e))
                     owners.append((k, n))
+                else:
+                    faint.append((n, e))
                 n += len(c)
-        out: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
+            if faint:
+                below.append((k, faint))
+        self._solve(chosen, lengths, owners, out)
+        chosen, lengths, owners = [], [], []
+        for k, faint in below:
+            if not any(m.max() > FAINT for _, m in out[k]):
+                for n, e in faint:
+                    chosen += e
+                    lengths.append(len(e))
+                    owners.append((k, n))
+        self._solve(chosen, lengths, owners, out)
+        return out
+
+    def _solve(self, chosen: list[float], lengths: list[int], owners: list[tuple[int, int]], out: list[list[tuple[int, np.ndarray]]]) -> None:
+        """Adds to ``out`` the marginals of chains given by their emissions, one after the other."""
         if not chosen:
-            return out
+            return
         emission, length = np.array(chosen), np.array(lengths)
         flat = np.zeros(len(emission))
         for matrix, own, place, mask in _padded(emission, length):
-            m, _, _ = forward_backward(matrix, own, self.trans, self.start)
+            m, _, _ = forward_backward(matrix, own, self.trans, self.start, counted=False)
             flat[place[mask]] = m[mask]
         for (k, n), a, b in zip(owners, np.cumsum(length) - length, np.cumsum(length)):
             out[k].append((n, flat[a:b]))
-        return out
 
     def aggregate(self, found: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """Of a document's marginals above FAINT: their sum (log), the largest; and a constant."""
+        """Of a document's marginals: the sum of those above FAINT (log), the largest of all; and a constant."""
         m = np.concatenate([x for _, x in found]) if found else np.zeros(0)
         sure = m[m > FAINT]
-        return np.array([np.log1p(sure.sum()), sure.max() if len(sure) else 0.0, 1.0])
+        return np.array([np.log1p(sure.sum()), m.max() if len(m) else 0.0, 1.0])
 
     def score(self, features: np.ndarray) -> float:
         return float(1.0 / (1.0 + np.exp(-features @ self.document)))

@@ -391,6 +391,22 @@ def test_toxicity_held_out_accuracy_and_spans(spark, awkward, empty):
     assert all(r.toxicity.score < 0.5 for r in toxicity.tag_toxic(awkward, nothing).collect())
 
 
+def test_toxicity_scores_follow_the_largest_of_all_marginals():
+    import numpy as np
+
+    weights = {"knave": 7.0, "meek": 1.0, "mild": 0.5}
+    model = toxicity.Crf(weights, -6.0, np.array([[0.5, -0.5], [-0.5, 0.5]]), np.zeros(2), np.array([1.0, 4.0, -3.0]))
+    texts = ["plain words\nall plain", "plain words\nmild plain", "plain meek\nplain", "a knave\nplain meek", "plain " * 200, "", None, "\n\n"]
+    got = [model.aggregate(m) for m in model.marginals(texts, toxicity._Known(model.emission))]
+    for text, x in zip(texts, got):
+        every = [np.array([model.emission(w) for w in c]) for c in toxicity.chains(text)]
+        m = np.concatenate([toxicity.forward_backward(e[None], np.array([len(e)]), model.trans, model.start)[0][0] for e in every] or [np.zeros(0)])
+        assert list(x) == pytest.approx([np.log1p(m[m > toxicity.FAINT].sum()), m.max() if len(m) else 0.0, 1.0])
+    scores = [model.score(x) for x in got[:4]]
+    assert scores == sorted(set(scores)) and got[2][1] < toxicity.FAINT  # no ties below FAINT
+    assert (toxicity.TRAINING_DOCS, toxicity.STEPS, toxicity.RATE) == (4000, 30, 0.35)
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
