@@ -162,39 +162,97 @@ def test_jaccard_against_brute_force(spark, docs):
     assert got == brute_components(rows)
 
 
-def test_jaccard_cells_never_miss(spark):
+@pytest.mark.parametrize("link", [90, 80])
+def test_jaccard_cells_never_miss(link):
     rng = random.Random(1)
     import numpy as np
 
-    for n in (1, 3, 9, 10, 11, 18, 40, 57, 58, 200, 1000):
-        for _ in range(30):
+    def first(cells, often):
+        return {c for quota, codes in cells for c in sorted(codes.tolist(), key=lambda c: (often(c), c))[:quota]}
+
+    met = 0
+    for n in (1, 3, 5, 8, 9, 10, 11, 12, 18, 40, 57, 58, 200, 1000):
+        for trial in range(60):
             one = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
-            apart = rng.randint(0, jaccard.most_apart(n))
-            drop = rng.randint(0, min(apart, n // 10))
+            apart = rng.randint(0, jaccard.most_apart(n, link))
+            drop = rng.randint(0, min(apart, n * (100 - link) // 100))
             two = np.concatenate([one[drop:], np.array([rng.getrandbits(64) for _ in range(apart - drop)], np.uint64)])
             i = n - drop
-            if 100 * i >= 90 * (n + apart - drop):
-                assert set(jaccard.cells_of(one).tolist()) & set(jaccard.cells_of(two).tolist())
-
+            if 100 * i >= link * (n + apart - drop) and set(one.tolist()) != set(two.tolist()):
+                met += 1
+                for often in (lambda c: 0, lambda c: c % 7, lambda c: -c):  # whatever the common order
+                    assert first(jaccard.cells_of(one, link), often) & first(jaccard.cells_of(two, link), often), (n, trial)
+    assert met > 300
+
+
+def spread(rng, n, words=9):
+    return [" ".join(f"w{rng.randrange(10**9)}" for _ in range(words + 2)) for _ in range(n)]
+
+
+def test_jaccard_disjoint_sets_share_no_cells(spark):
+    rng = random.Random(8)
+    for words in (9, 100):
+        for n in (1_000, 4_000):
+            rows = spark.createDataFrame(list(enumerate(spread(rng, n, words))), "key long, text string")
+            points = rows.mapInArrow(lambda b: jaccard._point(b, 3, 90), "key long, n long, digest binary, counts binary, cells array<struct<quota:int,codes:array<long>>>")
+            assert jaccard.shared_cells(points.select(F.col("key").alias("id"), "cells")).count() == 0
+
+
+def test_jaccard_links_come_from_the_trees(spark):
+    rng = random.Random(6)
+    rows = list(enumerate(spread(rng, 300, 60)))
+    for k in range(100):  # near copies of the first hundred, and a hot group of them around one text
+        w = rows[k][1].split(" ")
+        w[-1] = f"x{k}"
+        rows.append((1_000 + k, " ".join(w)))
+    for k in range(1_300):
+        w = rows[200][1].split(" ")
+        w[k % 2 * -1] = f"y{k}"
+        rows.append((2_000 + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "key long, text string")
+    points = docs.mapInArrow(lambda b: jaccard._point(b, 3, 90), "key long, n long, digest binary, counts binary, cells array<struct<quota:int,codes:array<long>>>")
+    nodes = points.select(F.col("key").alias("id"), "counts", "cells").cache()
+    members = jaccard.shared_cells(nodes.select("id", "cells")).join(nodes.select("id", "counts"), "id")
+    assert members.agg(F.max("m")).first()[0] > jaccard.TILE
+    pairs = jaccard.first_search(members, 90)
+    links = jaccard.verify(pairs, docs.select(F.col("key").alias("id"), "text"), 3, 90)
+    found = {tuple(sorted(r)) for r in links.collect()}
+    assert {(k, 1_000 + k) for k in range(100)} <= found  # every planted near copy, by the first search
+    assert pairs.count() < 12 * 1_400  # not the 845,000 pairs of the hot group
+    joined = components(links.toDF("a", "b"))
+    more = jaccard.further_search(members, joined, 90).count()
+    assert more < 1_400
+    got = {r.key: r.component for r in jaccard.link_documents(docs, key="key").collect()}
+    assert all(got[1_000 + k] == k for k in range(100)) and {got[2_000 + k] for k in range(1_300)} == {200}
+    with pytest.raises(ValueError):
+        jaccard.link_documents(docs, key="text")
+
+
+@pytest.mark.parametrize("link", [90, 80])
+def test_r_tree_finds_what_brute_force_finds(link):
+    import numpy as np
 
-def test_jaccard_awkward_rows(spark, awkward, empty):
-    got = jaccard.link_documents(awkward).collect()
-    assert len(got) == len(AWKWARD)
-    assert all(r.component == r.doc_id for r in got) and sum(r.doc_id == 6 for r in got) == 2
-    assert jaccard.link_documents(empty).count() == 0
-    kept = jaccard.keep_one(awkward)
-    assert kept.columns == awkward.columns and kept.count() == len(AWKWARD)
+    rng = np.random.default_rng(0)
+    near = np.repeat(rng.poisson(3, (1, jaccard.GROUPS)), 900, axis=0) + (rng.random((900, jaccard.GROUPS)) < 0.05)
+    points = np.vstack([rng.poisson(3, (1200, jaccard.GROUPS)), near]).astype(np.int32)
+    tree = jaccard.RTree(points, link)
+    assert len(tree.levels) == 2
+    for k in range(0, 2100, 97):
+        low = np.minimum(points, points[k]).sum(axis=1)
+        at, overlap = tree.search(points[k])
+        assert set(at.tolist()) == set(np.flatnonzero(100 * low >= link * (points.sum(axis=1) + points[k].sum() - low)).tolist())
+        assert list(overlap) == list(low[at])
 
 
-def test_r_tree_finds_what_brute_force_finds():
+def test_count_vectors_fold():
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    points = np.vstack([rng.poisson(3, (300, jaccard.GROUPS)), np.repeat(rng.poisson(3, (1, jaccard.GROUPS)), 200, axis=0) + (rng.random((200, jaccard.GROUPS)) < 0.05)]).astype(np.int32)
-    tree = jaccard.RTree(points)
-    for k in range(0, 500, 17):
-        low = np.minimum(points, points[k]).sum(axis=1)
-        assert set(tree.search(points[k]).tolist()) == set(np.flatnonzero(100 * low >= 90 * (points.sum(axis=1) + points[k].sum() - low)).tolist())
+    rng = random.Random(3)
+    h = np.array([rng.getrandbits(64) for _ in range(9000)], np.uint64)
+    long, short = jaccard.count_vector(h), jaccard.count_vector(h[:4000])
+    assert (len(long), len(short)) == (4 * jaccard.GROUPS, jaccard.GROUPS)
+    folded = jaccard._vectors([long.tobytes(), short.tobytes()])
+    assert folded.shape == (2, jaccard.GROUPS) and (folded[0] >= folded[1]).all() and folded.sum() == 13000
 
 
 def test_components_of_paths_and_stars(spark):
