@@ -38,10 +38,10 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
-def _print(rows, most: int = 1000) -> int:
-    """Prints up to ``most`` rows as they come, one JSON text a line; returns how many there were."""
+def _print(rows) -> int:
+    """Prints all rows, one JSON text a line, a partition at a time; returns how many there were."""
     n = 0
-    for r in rows.select(F.to_json(F.struct("*")).alias("j")).limit(most).toLocalIterator():
+    for r in rows.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
         print(r.j)
         n += 1
     return n
@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         _print(versions.scrub_texts(A.members(A.read_archives(spark, a.path)), a.pattern)[1])
     else:
         files = T.read_texts(spark, a.path)
-        for table in ("atoms", "frames", "grids", "voxels"):
+        for table in ("atoms", "frames", *T.TABLES_OF[a.format]):
             T.parse(files, a.format, table).write.mode("errorifexists").parquet(f"{a.out}/{table}")
         return 1 if _print(T.parse(files, a.format, "problems")) else 0
     return 0

@@ -50,11 +50,11 @@ def pointer_escape(key: Column) -> Column:
 def path_problem(path: Column) -> Column:
     """Why an entry name is illegal; null if it is legal."""
     return (
-        F.when(F.contains(path, F.lit("\\")), F.lit("contains a backslash"))
-        .when(F.contains(path, F.lit("\0")), F.lit("contains a NUL character"))
-        .when(F.startswith(path, F.lit("/")), F.lit("begins with '/'"))
-        .when(path.rlike("^[A-Za-z]:"), F.lit("begins with a drive letter"))
-        .when(F.array_contains(F.split(path, "/"), ".."), F.lit("contains a '..' segment"))
+        F.when(F.contains(path, F.lit("\\")), F.lit("backslash in name"))
+        .when(F.contains(path, F.lit("\0")), F.lit("NUL in name"))
+        .when(F.startswith(path, F.lit("/")), F.lit("absolute name"))
+        .when(path.rlike("^[A-Za-z]:"), F.lit("name with a drive"))
+        .when(F.array_contains(F.split(path, "/"), ".."), F.lit("parent segment in name"))
     )
 
 

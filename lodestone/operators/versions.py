@@ -69,7 +69,7 @@ def scrub_texts(members: DataFrame, patterns: list[str], replacement: str = "[re
     rows = members.withColumns({"matches": F.when(scope & F.col("text").isNotNull(), total), "scrubbed": F.when(scope & F.col("text").isNotNull(), text)})
     where = F.concat_ws("/", "section_id", "role")
     changes = rows.where("matches > 0").select("archive", where.alias("location"), F.lit("redact").alias("action"), F.col("matches").cast("long").alias("matches"))
-    reason = F.when(F.lit(not patterns), F.lit("no patterns selected")).when(scope & F.col("text").isNull(), F.lit("not UTF-8")).otherwise(F.lit("outside text scrub scope"))
+    reason = F.when(F.lit(not patterns), F.lit("no pattern given")).when(scope & F.col("text").isNull(), F.lit("not UTF-8")).otherwise(F.lit("not a text of a run"))
     passed = rows.where(run & (F.lit(not patterns) | F.col("matches").isNull())).select("archive", where.alias("location"), F.concat(F.lit("skip: "), reason).alias("action"), F.lit(0).cast("long").alias("matches"))
     out = rows.withColumns({
         "text": F.coalesce("scrubbed", "text"),

@@ -87,7 +87,7 @@ SHARED = {
     "cross_expand_ops": "select n_nationkey, op, n_nationkey * op + 1 as img from nation cross join (select 1 as op union all select -1 union all select 2) o",
     "asymmetry_self_join": "select a.o as a_c, a.p as b_c, a.n as n_ab, coalesce(b.n, 0) as n_ba, a.n <> coalesce(b.n, 0) as asym from (select l_returnflag as o, l_linestatus as p, count(*) as n from lineitem group by 1, 2) a left join (select l_returnflag as o, l_linestatus as p, count(*) as n from lineitem group by 1, 2) b on a.o = b.p and a.p = b.o",
     "agree_within_tol": "select o_orderkey, abs(o_totalprice - s) > 1e-2 as bad from orders o join (select l_orderkey, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) as s from lineitem group by l_orderkey) l on o_orderkey = l_orderkey",
-    "diff_full_outer": "select coalesce(l.k, r.k) as k, case when l.k is null then 'missing from left' when r.k is null then 'missing from right' when abs(l.v - r.v) > greatest(1e-9 * greatest(abs(l.v), abs(r.v)), 0.0) then 'differ' else 'same' end as st from (select user_id as k, round(sum(value), 6) as v from events where event_type = 'purchase' group by user_id) l full outer join (select user_id as k, round(sum(value), 6) as v from events where event_type = 'signup' group by user_id) r on l.k = r.k",
+    "diff_full_outer": "select coalesce(l.k, r.k) as k, case when l.k is null then 'only on the right' when r.k is null then 'only on the left' when abs(l.v - r.v) > greatest(1e-9 * greatest(abs(l.v), abs(r.v)), 0.0) then 'differ' else 'same' end as st from (select user_id as k, round(sum(value), 6) as v from events where event_type = 'purchase' group by user_id) l full outer join (select user_id as k, round(sum(value), 6) as v from events where event_type = 'signup' group by user_id) r on l.k = r.k",
     # windows
     "ascending_check": "select user_id, cast(sum(case when event_id < prev then 1 else 0 end) as bigint) as violations from (select user_id, event_id, lag(event_id) over (partition by user_id order by ts, event_id) as prev from events) t group by user_id",
     "non_increasing_check": "select l_orderkey, cast(sum(case when l_quantity > prev then 1 else 0 end) as bigint) as violations from (select l_orderkey, l_quantity, lag(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as prev from lineitem) t group by l_orderkey",

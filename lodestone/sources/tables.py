@@ -9,16 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where the session names none, as in tests."""
+    """The folder in spark.checkpoint.dir; where the session names none, a temporary one, on a local master only.
+
+    On a cluster each executor would write to a disk of its own and its rows would be missing later: that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: the master is {master}")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet and read again: they are computed once, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """The rows written as Parquet and read again: they are computed once, and lost executors cost nothing.
+
+    The table stays until ``release``, since a result may be read from it at any time.
+    """
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> bool:
+    """Deletes all durable tables of this application, once its results are written; whether there were any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

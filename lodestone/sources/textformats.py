@@ -35,9 +35,12 @@ PROBLEMS = "path string, problem string"
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, text) of every file below ``path`` that fits the glob ``pattern``."""
+    """(path, text) of every file below ``path`` that fits the glob ``pattern``; null text above MOST_CHARS bytes.
+
+    The contents of such files aren't decoded; ``parse`` gives each of them a row in ``problems``.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= MOST_CHARS).select("path", F.decode("content", "utf-8").alias("text"))
+    return files.select("path", F.when(F.col("length") <= MOST_CHARS, F.decode("content", "utf-8")).alias("text"))
 
 
 def _number(text: str) -> float:
@@ -369,6 +372,8 @@ def molden(text: str):
     return {"frames": [(0, len(atoms), "", None, None, [False] * 3)], "atoms": atoms, "shells": shells, "orbitals": orbitals, "coefficients": coefficients}
 
 
+#: What each format's files hold besides atoms and frames.
+TABLES_OF = {"cif": ("operators",), "mmcif": (), "xsf": ("grids", "voxels"), "molden": ("shells", "orbitals", "coefficients"), "xyz": (), "poscar": (), "cube": ("grids", "voxels"), "chgcar": ("grids", "voxels"), "pdb": ()}
 PARSERS = {"cif": cif, "mmcif": mmcif, "xsf": xsf, "molden": molden, "xyz": xyz, "poscar": poscar, "cube": cube, "chgcar": chgcar, "pdb": pdb}
 
 
@@ -385,7 +390,9 @@ def parse(files: DataFrame, parser: str, table: str = "atoms") -> DataFrame:
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    found = run(text.as_py() or "").get(table, [])
+                    if not text.is_valid:
+                        raise ValueError(f"larger than {MOST_CHARS} bytes")
+                    found = run(text.as_py()).get(table, [])
                 except (ValueError, IndexError, KeyError, TypeError, StopIteration, ZeroDivisionError) as e:
                     found = [(str(e) or type(e).__name__,)] if table == "problems" else []
                 for k in range(0, len(found), 50_000):

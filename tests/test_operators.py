@@ -66,9 +66,9 @@ def test_differences(spark, tmp_path):
     run["members"]["log"] = b"done on host8\n"
     got, found = diffs(spark, tmp_path, water(), other, atol=1e-6)
     assert got == {
-        ("manifest/sections/0/charge", "numeric values differ"), ("manifest/sections/0/extra~1key", "missing from left"),
-        ("rho/data[1]", "numeric values differ"), ("rho/data[7]", "numeric values differ"),
-        ("ir/spectrum/frequencies", "array lengths differ"), ("ir/spectrum/intensities/1", "values differ"), ("run/log", "raw payloads differ"),
+        ("manifest/sections/0/charge", "number differs"), ("manifest/sections/0/extra~1key", "only on the right"),
+        ("rho/data[1]", "number differs"), ("rho/data[7]", "number differs"),
+        ("ir/spectrum/frequencies", "length differs"), ("ir/spectrum/intensities/1", "value differs"), ("run/log", "bytes differ"),
     }
     s = compare.summary(found, 3).first()
     assert s.difference_count == 7 and s.truncated and len(s.differences) == 3
@@ -89,7 +89,7 @@ def test_scrub(spark, tmp_path):
     out, report = versions.scrub_texts(A.members(arc), [r"host\d"], "$x")
     log = out.where("role = 'log'").first()
     assert log.text == "done on $x\n" and log.size == len(log.content) and bytes(log.content) == b"done on $x\n"
-    assert {(r.location, r.action, r.matches) for r in report.collect()} == {("run/log", "redact", 1), ("run/files", "skip: outside text scrub scope", 0)}
+    assert {(r.location, r.action, r.matches) for r in report.collect()} == {("run/log", "redact", 1), ("run/files", "skip: not a text of a run", 0)}
     clean, what = versions.scrub_manifests(A.manifests(arc))
     assert "hostname" not in clean.first().manifest and "email" not in clean.first().manifest
     assert {r.location for r in what.collect()} == {"/provenance/hostname", "/metadata/authors/0/email"}

@@ -131,3 +131,32 @@ def test_latest_versions_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.job, r.version) for r in spark.sql("select * from latest").collect()} == {("j", 2), ("k", 1)}
+
+
+def test_oversized_files_are_problems(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.xyz").write_text("1\nx\nH 0 0 0\n")
+    (tmp_path / "b.xyz").write_text("1\nx\nH 0 0 0\n" + " " * 100)
+    monkeypatch.setattr(T, "MOST_CHARS", 50)
+    files = T.read_texts(spark, str(tmp_path))
+    assert T.parse(files, "xyz").count() == 1
+    (r,) = T.parse(files, "xyz", "problems").collect()
+    assert r.path.endswith("b.xyz") and r.problem.startswith("larger than")
+
+
+def test_shared_folder_is_needed_beyond_one_machine():
+    from lodestone.sources import tables
+
+    class Cluster:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://head:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Cluster)
+
+
+def test_durable_tables_are_released(spark):
+    from lodestone.sources import tables
+
+    rows = tables.durable(spark.range(5), "five")
+    assert rows.count() == 5
+    assert tables.release(spark) and not tables.release(spark)
