@@ -225,18 +225,20 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool =
         model = _model(sent)
         model.forget()
         gc.disable()  # no cycles are made, and collections would walk all that is kept
-        for batch in batches:
-            texts, columns = [x.as_py() or "" for x in batch.column(at)], []
-            if digests:
-                got = []
-                for part in _runs(texts):
-                    got += model.digests(part)
-                columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
-            else:
-                columns = [pa.array([x for part in _runs(texts) for x in model.encode(part)], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *new])
-        gc.enable()
-        model.forget()  # an idle worker keeps the vocabulary only
+        try:
+            for batch in batches:
+                texts, columns = [x.as_py() or "" for x in batch.column(at)], []
+                if digests:
+                    got = []
+                    for part in _runs(texts):
+                        got += model.digests(part)
+                    columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
+                else:
+                    columns = [pa.array([x for part in _runs(texts) for x in model.encode(part)], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *new])
+        finally:  # also after an error or a limit: Spark uses the worker again
+            gc.enable()
+            model.forget()  # an idle worker keeps the vocabulary only
 
     kinds = ("long", "string", "string") if digests else ("array<int>",)
     added = docs.select(*[F.lit(None).cast(k).alias(c) for c, k in zip(new, kinds)]).schema.fields
