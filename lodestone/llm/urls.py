@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import durable, fresh
+from .common import durable, fresh, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values: (verdict, rule), a rule being a host and the start of a path.
@@ -15,6 +15,8 @@ LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz
 LIMIT, Z = 0.5, 1.645
 #: Least and largest strength (pseudo-pages) of a prior.
 WEAKEST, STRONGEST = 1.0, 1000.0
+#: So many blocked hosts may be broadcast; with more, they are joined by a shuffle.
+BROADCAST_HOSTS = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -99,7 +101,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules=R
 
     The verdict is the longest fitting rule's, else block where the host's posterior lower bound of bad pages
     exceeds ``limit``, else allow. ``outcomes``: (host, bad). A url that is null or has no '://' has an empty host and
-    path and is allowed; hosts without outcomes are allowed. Repeated pages each get their verdict.
+    path and is allowed; hosts without outcomes are allowed. Repeated pages each get their verdict. Blocked hosts are
+    counted, and broadcast up to BROADCAST_HOSTS of them.
     """
     names = [fresh(pages, c) for c in ("host", "path", "rule", "verdict")]
     host, path, rule, verdict = names
@@ -107,10 +110,11 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules=R
     r, v = rule_of(F.col(host), F.col(path), rules)
     rows = rows.withColumns({rule: r, verdict: v})
     # only hosts that the bound blocks are joined, each once
-    bad = host_reputation(outcomes).where(F.col("lower") > limit).select(F.col("host").alias("_host"))
-    rows = rows.join(bad, F.col(host) == F.col("_host"), "left")
-    said = F.coalesce(F.col(verdict), F.when(F.col("_host").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return rows.withColumn(verdict, said).drop("_host")
+    mark = fresh(rows, "blocked")
+    bad = durable(host_reputation(outcomes).where(F.col("lower") > limit).select(F.col("host").alias(mark)), "blocked")
+    rows = rows.join(small(bad, BROADCAST_HOSTS), F.col(host) == F.col(mark), "left")
+    said = F.coalesce(F.col(verdict), F.when(F.col(mark).isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return rows.withColumn(verdict, said).drop(mark)
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
