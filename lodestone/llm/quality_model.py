@@ -67,10 +67,10 @@ class Model:
         return np.clip(0.99 * step + 0.01 * np.clip(raw, 0, 1), 0.0, 1.0)  # the small part orders what the steps tie
 
 
-def fit_quality(rows: DataFrame, names: list[str]) -> Model:
-    """Fits on ``rows``: the statistics, ``good`` (0 or 1, null where not labelled) and ``part`` (calibrate or not).
+def fit_quality(rows: DataFrame, labelled: DataFrame, names: list[str]) -> Model:
+    """Fits on ``labelled``: the statistics, ``good`` (0 to 1) and ``part`` (calibrate or not). A repeated row counts again.
 
-    Means and deviations come from all rows. Each partition of the labelled rows adds up Z'Z and Z'y, and the sums
+    Means and deviations come from all ``rows``. Each partition of the labelled rows adds up Z'Z and Z'y, and the sums
     meet in a grouped sum by matrix row; the driver gets one matrix of fixed size. The calibration counts raw scores of
     labelled rows that the ridge hasn't seen in quantile bins and pools adjacent violators. Without labels every score
     is 0.5.
@@ -78,7 +78,6 @@ def fit_quality(rows: DataFrame, names: list[str]) -> Model:
     moments = rows.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).first()
     waves = Waves([moments[f"m_{n}"] or 0.0 for n in names], [moments[f"s_{n}"] or 1.0 for n in names])
     size = WAVES + 1
-    labelled = rows.where(F.col("good").isNotNull())
 
     def summed(batches):
         a, b = np.zeros((size, size)), np.zeros(size)
@@ -88,7 +87,7 @@ def fit_quality(rows: DataFrame, names: list[str]) -> Model:
             b += z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(np.hstack([a, b[:, None]]).tolist(), pa.list_(pa.float64()))], ["i", "row"])
 
-    parts = labelled.where(~F.col("part")).select(*names, "good").coalesce(64).mapInArrow(summed, "i int, row array<double>")
+    parts = labelled.where(~F.col("part")).select(*names, "good").mapInArrow(summed, "i int, row array<double>")
     width = size + 1
     total = parts.groupBy("i").agg(F.array(*[F.sum(F.get("row", F.lit(j))) for j in range(width)]).alias("row")).orderBy("i").collect()
     if not total or not any(map(any, (r.row for r in total))):
@@ -132,8 +131,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("mark")).agg(F.avg("quality").alias("good"))
     known = rows.join(marks.where((F.crc32(F.col("mark").cast("string").cast("binary")) % folds) != held_fold), F.col("key") == F.col("mark"), "inner")
     known = known.select(*names, "good", (fold == (held_fold - 1) % folds).alias("part"))
-    every = rows.select(*names, F.lit(None).cast("double").alias("good"), F.lit(False).alias("part"))
-    model = fit_quality(durable(known.unionByName(every), "known"), names)
+    model = fit_quality(rows, durable(known, "known"), names)
 
     def scored(batches):
         for batch in batches:
