@@ -19,9 +19,11 @@ LEAST_PRECISION = 0.9
 LEAST_ROWS = 5
 
 
-def _repeated_words(hashes: Column) -> Column:
+def _repeated_words(words: Column, hashes: Column) -> Column:
     """Words inside 5-word windows that occur twice or more, given a hash for each window.
 
+    Windows are equal if that hash and another one are, 96 bits in all. Texts without two equal hashes never get here.
+
     Windows are sorted by hash, those equal to a neighbour are kept by position, and one pass adds up what they cover.
     """
     def covered(at: Column) -> Column:
@@ -30,18 +32,20 @@ def _repeated_words(hashes: Column) -> Column:
         return F.aggregate(at, zero, step, lambda s: s["sum"])
 
     def repeated(s: Column) -> Column:
-        same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        same = lambda x, k: F.coalesce((F.get(s, k)["h"] == x["h"]) & (F.get(s, k)["g"] == x["g"]), F.lit(False))
         places = F.transform(s, lambda x, k: F.when(same(x, k - 1) | same(x, k + 1), x["p"]))
         return F.array_sort(F.filter(places, lambda p: p.isNotNull()))
 
-    windows = F.array_sort(F.transform(hashes, lambda h, p: F.struct(h.alias("h"), p.cast("long").alias("p"))))
+    other = lambda p: F.hash(*[F.get(words, p + j) for j in range(5)])
+    windows = F.array_sort(F.transform(hashes, lambda h, p: F.struct(h.alias("h"), other(p).alias("g"), p.cast("long").alias("p"))))
     return bind(bind(windows, repeated), covered)
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns and ``stats``: struct of counts over the whole text; null and empty texts count zero everywhere.
 
-    Words are runs without ASCII white space. Windows are compared by a 64-bit hash of their five words.
+    Words are runs without ASCII white space. Windows are compared by hashes of their five words: 64 bits, and 32 more
+    where these are equal.
     """
     t, words, hashes, out = fresh(docs, "text_or_empty"), fresh(docs, "words"), fresh(docs, "windows"), fresh(docs, "stats")
     rows = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
@@ -57,7 +61,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     stats = F.struct(
         long(F.size(w), "n_words"), long(kept(SPACE), "word_chars"), long(kept(r"[^#*$%&|<>]+"), "n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct(h)) < F.size(h), _repeated_words(h)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.size(F.array_distinct(h)) < F.size(h), _repeated_words(w, h)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         long(kept(r"[^A-Z]+"), "n_capitals"), long(kept(r"[^0-9]+"), "n_digits"), long(kept(r"[^.,;:!?]+"), "n_marks"),
         long(F.size(F.array_distinct(w)), "n_distinct_words"), bind(lines, F.size).cast("long").alias("n_lines"),
     )
@@ -114,7 +118,8 @@ def learn_rules(labelled: DataFrame, names: list[str], bad: str = "bad", key: st
     Every labelled row takes part: its statistics are cut into quantile bins and equal rows are counted together; each
     step is one grouped count over those cells. Half of the rows (by a hash of ``key``) grow a rule by the gain of its
     next condition, the other half prune its last conditions and decide on it; then what it covers is removed.
-    Without labels, or without a rule that is precise enough in both halves, the list is empty.
+    Without labels, or without a rule that is precise enough in both halves, the list is empty. A repeated row counts
+    again.
     """
     quantiles = labelled.agg(*[F.percentile_approx(f, [k / (CUTS + 1) for k in range(1, CUTS + 1)], 2000).alias(f) for f in names]).first()
     cuts = {f: sorted(set(quantiles[f] or [])) for f in names}
@@ -171,16 +176,16 @@ def rule_expression(rules: list[Rule]) -> str:
 
 
 def _judged(scored: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, list[Rule]]:
-    """``scored`` (key, stats) with base_failed, rule and kept."""
+    """``scored`` (judged: the key, stats) with base_failed, rule and kept."""
     f = ratios(F.col("stats"))
     names = list(f)
-    rows = scored.select(key, "stats", *[c.alias(n) for n, c in f.items()])
-    marks = labels.where(F.col("quality").isNotNull()).select(F.col(key).alias("_k"), (F.col("quality") == 0).alias("bad"))
-    rules = learn_rules(rows.join(marks, F.col(key) == F.col("_k")), names, key=key)
+    rows = scored.select("judged", "stats", *[c.alias(n) for n, c in f.items()])
+    marks = labels.where(F.col("quality").isNotNull()).select(F.col(key).alias("marked"), (F.col("quality") == 0).alias("bad"))
+    rules = learn_rules(rows.join(marks, F.col("judged") == F.col("marked")), names, key="judged")
     s = F.col("stats")
     failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
     rows = rows.withColumn("base_failed", failed).withColumn("rule", F.expr(rule_expression(rules)))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).select(key, "stats", "base_failed", "rule", "kept"), rules
+    return rows.select(F.col("judged").alias(key), "stats", "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept")), rules
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, list[Rule]]:
@@ -190,8 +195,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     number of the rule that fired, 0 for none. ``labels`` has ``key`` and ``quality`` (0 is bad; null is ignored). Rows
     without labels are judged alike; rows with a null key are judged but teach nothing. Repeated rows are kept.
     """
-    scored = durable(text_statistics(docs.select(key, text), text).select(key, "stats"), "stats")
-    return _judged(scored, labels, key)
+    stats = text_statistics(docs.select(key, text), text)
+    return _judged(durable(stats.select(F.col(key).alias("judged"), F.col(stats.columns[-1]).alias("stats")), "stats"), labels, key)
 
 
 #: So many labelled ids may be broadcast to pick the labelled documents; with more, they are joined by a shuffle.
@@ -201,10 +206,12 @@ BROADCAST_LABELS = 1_000_000
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the base rules and the learned list keep, all columns as they are.
 
-    The list is learned from the labelled rows' statistics and applied in place, so that texts aren't shuffled.
+    The list is learned from the labelled rows' statistics and applied in place, so that texts aren't shuffled; the
+    statistics of labelled rows are computed twice, which is less than writing all texts once more.
     """
-    ids = labels.where(F.col("quality").isNotNull()).select(F.col(key).alias("_k")).distinct()
-    labelled = docs.join(small(ids, BROADCAST_LABELS), F.col(key) == F.col("_k"), "left_semi")
+    mark = fresh(docs, "marked")
+    ids = labels.where(F.col("quality").isNotNull()).select(F.col(key).alias(mark)).distinct()
+    labelled = docs.join(small(ids, BROADCAST_LABELS), F.col(key) == F.col(mark), "left_semi")
     _, rules = judge_quality(labelled, labels, text, key)
     rows = text_statistics(docs, text)
     stats = rows.columns[-1]
