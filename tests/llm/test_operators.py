@@ -302,6 +302,26 @@ def test_secrets_against_brute_force_and_ledger(spark, docs, awkward, empty):
     assert secrets.scan_secrets(empty)[0].count() == 0
 
 
+def test_secrets_over_versions_of_history(spark):
+    first = [("a.py", "c1", "token=abcdefgh"), ("b.py", "c1", "plain"), ("c.py", "c1", "token=abcdefgh")]
+    later = first + [("a.py", "c2", "token = other99"), ("d.py", "c2", "token=abcdefgh"), ("b.py", "c2", None)]
+    schema = "path string, blob string, text string"  # a commit in a column that clashes
+    rows, ledger = secrets.scan_secrets(spark.createDataFrame(first, schema))
+    assert ledger.count() == 2 and rows.columns == ["path", "blob", "blob_", "findings"]
+    old = ledger.where("size(findings) > 0").first().blob
+    marked = ledger.withColumn("findings", F.when(F.col("blob") == old, F.array(F.struct(F.lit("kept").alias("kind"), F.lit(1).cast("long").alias("start"), F.lit(2).cast("long").alias("end")))).otherwise(F.col("findings")))
+    for most in (500_000, 1, 0):  # the unseen blobs are broadcast; the seen ones are not either; neither
+        secrets.BROADCAST_BLOBS, usual = most, secrets.BROADCAST_BLOBS
+        try:
+            rows, whole = secrets.scan_secrets(spark.createDataFrame(later, schema), marked)
+            got = {(r.path, r.blob): [f.kind for f in r.findings] for r in rows.collect()}
+        finally:
+            secrets.BROADCAST_BLOBS = usual
+        # seen blobs keep what the ledger says, wherever they are found again
+        assert got == {("a.py", "c1"): ["kept"], ("b.py", "c1"): [], ("c.py", "c1"): ["kept"], ("a.py", "c2"): ["assign"], ("d.py", "c2"): ["kept"], ("b.py", "c2"): []}
+        assert whole.count() == 4 and whole.select("blob", "rule_version").distinct().count() == 4
+
+
 def test_pii_surrogates_are_distinct_consistent_and_typed(spark, docs, awkward, empty):
     extra = [(900 + k, f"mail a.b{k}@mail7.example.com or +1 (017) 555-77{k:02d} from 10.0.0.{k}, card 4111 1111 1111 1111 and Mrs Anna Schmidt met Herr Karl, Mr. Иван.") for k in range(60)]
     rows = both(docs, awkward).union(spark.createDataFrame(extra, "doc_id long, text string")).withColumn("was", F.col("text"))
@@ -325,8 +345,10 @@ def test_pii_surrogates_are_distinct_consistent_and_typed(spark, docs, awkward,
     card = made["card", "4111 1111 1111 1111"][1]
     digits = card.replace(" ", "")
     assert pii._luhn(digits[:-1]) == int(digits[-1]) and card[4] == " "
-    assert made["person", "Mrs Anna Schmidt"][1].split()[1] in pii.NAMES["f", "latin"]
-    assert made["person", "Mr. Иван"][1].split()[1] in pii.NAMES["m", "cyrillic"]
+    given = made["person", "Mrs Anna Schmidt"][1].split()[1]
+    assert given.istitle() and given.isascii() and given.endswith(tuple(pii.GIVEN["f", "latin"]))
+    given = made["person", "Mr. Иван"][1].split()[1]
+    assert given.istitle() and given[0] >= "Ѐ" and given.endswith(tuple(pii.GIVEN["m", "cyrillic"]))
     assert pii.pseudonymize(empty, "k").count() == 0
 
 
@@ -356,6 +378,25 @@ def test_pii_whole_names_and_their_further_mentions(spark):
     assert len(person) == 9 and len({s.id for s in person}) == 3 and three.surrogates[0].id in {s.id for s in person}
 
 
+def test_pii_numbers_in_another_layout_are_one_entity(spark):
+    rows = [(1, "+44 20 7946 0958"), (2, "call +442079460958!"), (3, "+44 (0)20 7946 0958"), (4, "4111 1111 1111 1111"), (5, "4111-1111-1111-1111"), (6, "+44 20 7946 0959")]
+    got = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    digits = [re.sub(r"\(0\)|\D", "", r.text) for r in got]
+    assert digits[0] == digits[1] == digits[2] != digits[5] and digits[3] == digits[4] and digits[0].startswith("44")
+    assert len({r.surrogates[0].id for r in got}) == 3 and re.fullmatch(r"\+44 \(0\)\d\d \d{4} \d{4}", got[2].text)
+
+
+def test_pii_names_without_a_title_and_the_key_of_the_session(spark):
+    (r,) = pii.pseudonymize(spark.createDataFrame([("Then Anna Schmidt left; Schmidt and Anna said so. Frau Schmidt",)], "text string"), "k").collect()
+    assert {s.kind for s in r.surrogates} == {"person"} and not {"Anna", "Schmidt"} & set(re.findall(r"\w+", r.text)) and pii.entities("Anna said") == []
+    spark.conf.unset(pii.KEY_SETTING)
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == "mine"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_pii_lists_and_patterns_that_are_used_up(spark):
     # every listed name after one title, every address of one letter at one letter: no other text of the kind is free
     names = [f"{t} {n}" for t, of in (("Mr.", ("m", "latin")), ("Frau", ("f", "cyrillic"))) for n in pii.NAMES[of]]
