@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, fresh, small_batches
 
-#: Given names by gender, in the Latin and the Cyrillic script.
+#: Given names by gender, in the Latin and the Cyrillic script. Beside a surname they tell a person
+#: without a title too.
 NAMES = {
     ("f", "latin"): "Ada Alice Anna Beate Carla Chloe Clara Diana Elena Emma Eva Greta Hanna Ines Irene Jana Julia Laura Lea Lucia Marie Marta Nora Olga Paula Rosa Sara Sofia Tanja Vera".split(),
     ("m", "latin"): "Adam Alan Anton Bruno Carlos David Diego Emil Erik Felix Frank Georg Hugo Ivan Jan Jorge Karl Leo Louis Lucas Marc Martin Max Nils Oscar Paul Peter Rafael Simon Tomas".split(),
@@ -34,6 +36,7 @@ _UPPER, _LOWER = ("".join(c for c in _LETTERS if test(c)) for test in (str.isupp
 _NAME = rf"[{_UPPER}](?:(?:(?!['’]s\b)['’-])?[{_UPPER}{_LOWER}])*"
 _TITLE = r"(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(?:\.[ \u00a0]?|[ \u00a0])[ \u00a0]*"
 _PART = rf"(?:(?:{'|'.join(PARTICLES)})[ \u00a0]+)*(?:[dDlL]['’])?(?!{_TITLE})(?:{_NAME}(?<=\w\w)|[{_UPPER}]\.(?=[ \u00a0]?[{_UPPER}]))"
+_GIVEN = "|".join(sorted((n for names in NAMES.values() for n in names), key=len, reverse=True))
 #: In order of preference where matches overlap.
 KINDS = (
     ("email", r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -42,17 +45,30 @@ KINDS = (
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
-    ("person", rf"\b(?:{_TITLE})+{_PART}(?:(?:[ \u00a0]+|(?<=\.)){_PART})*"),
+    ("person", rf"\b(?:(?:{_TITLE})+{_PART}|(?:{_GIVEN})[ \u00a0]+{_PART})(?:(?:[ \u00a0]+|(?<=\.)){_PART})*"),
 )
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
 #: What a text must hold to have any entity.
-_GATE = re.compile(rf"@|\d{{2}}|\b{_TITLE}")
+_GATE = re.compile(rf"@|\d{{2}}|\b(?:{_TITLE}|(?:{_GIVEN})[ \u00a0])")
 _TITLED, _WORD, _PIECE = re.compile(rf"(?:{_TITLE})+"), re.compile(rf"(?<!\w){_NAME}"), re.compile(rf"[{_UPPER}][{_UPPER}{_LOWER}]+")
 #: Alphabets; a character keeps its alphabet, so script, case and format stay.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 #: The letters of names beyond these: Ł, Š, Ё and others, by script and case.
 ALPHABETS += tuple("".join(c for c in case if not any(c in a for a in ALPHABETS) and (c >= "Ѐ") == cyrillic) for case in (_LOWER, _UPPER) for cyrillic in (False, True))
 _OF = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
+#: What names are composed of, by script: beginnings and vowels of syllables, and endings of given names and surnames.
+SYLLABLES = {
+    "latin": ("b d f g h j k l m n p r s t v w z br dr fr gl gr kl kr pl st tr".split(), "a e i o u".split()),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х бр др гр кр пр ст".split(), "а е и о у".split()),
+}
+GIVEN = {
+    ("f", "latin"): "na lia ra ssa line nne".split(), ("m", "latin"): "n r s l las ndo".split(), (None, "latin"): "n na l ra s lis".split(),
+    ("f", "cyrillic"): "на лия ра вна ша".split(), ("m", "cyrillic"): "н р й слав мир".split(), (None, "cyrillic"): "н на р ра".split(),
+}
+SURNAME = {
+    ("f", "latin"): "ler nsen man ck rt lli nson".split(), ("m", "latin"): "ler nsen man ck rt lli nson".split(), (None, "latin"): "ler nsen man ck rt lli nson".split(),
+    ("f", "cyrillic"): "нова рина лева вская".split(), ("m", "cyrillic"): "нов рин лев вский".split(), (None, "cyrillic"): "нко рян лчук".split(),
+}
 #: Rounds in which colliding surrogates are drawn again.
 ROUNDS = 20
 #: From this draw on a surrogate is longer than its entity, and more so with each draw: no list or pattern is too small.
@@ -60,10 +76,18 @@ LONGER = 6
 
 
 def entities(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, leftmost first, without overlaps."""
+    """(kind, start, end) in code points, leftmost first, without overlaps.
+
+    Persons are told by a title, or by a listed given name before a surname.
+    """
     if not text or not _GATE.search(text):
         return []
-    return [(m.lastgroup, m.start(), m.end()) for m in _PATTERN.finditer(text)]
+    found = [(m.lastgroup, m.start(), m.end()) for m in _PATTERN.finditer(text)]
+    titled = [bool(k == "person" and _TITLED.match(text, a, b)) for k, a, b in found]
+    if any(titled):  # a name without a title that repeats words of a titled one is a further mention of that
+        known = {x for (_, a, b), t in zip(found, titled) if t for x in _PIECE.findall(text, a, b)}
+        found = [(k, a, b) for (k, a, b), t in zip(found, titled) if k != "person" or t or not known.issuperset(_PIECE.findall(text, a, b))]
+    return found
 
 
 def further_mentions(text: str, found: list[tuple[str, int, int]], made: list[str]) -> list[tuple[int, int, int, str]]:
@@ -100,7 +124,7 @@ def further_mentions(text: str, found: list[tuple[str, int, int]], made: list[st
 
 def _names(text: str) -> tuple[str, list[str]]:
     """A person's titles, and the rest: what is between the words of the name, and at odd places these words."""
-    head = _TITLED.match(text)[0]
+    head = m[0] if (m := _TITLED.match(text)) else ""
     return head, re.split(f"({_NAME})", text[len(head) :])
 
 
@@ -139,43 +163,67 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
-def _name(word: str, gender: str | None, key: bytes) -> str:
-    """A name of the same gender and script: listed names change places among themselves, others keep their pattern."""
-    for (g, _), names in NAMES.items():
-        if word in names and gender in (g, None):
-            return names[_permuted(names.index(word), len(names), key)]
-    script = "cyrillic" if word[0] >= "Ѐ" else "latin"
-    listed = {x for (g, s), names in NAMES.items() if gender in (g, None) and s == script for x in names}
-    out = _like(word, key)
-    while out in listed or out in TITLES:
-        out = _like(out, key)
-    return out
+def _composed(piece: str, gender: str | None, endings: dict, more: int, key: bytes) -> str:
+    """A pronounceable name for a run of letters, of its script and case; one letter stays one letter.
 
+    It has two syllables and an ending, for long names one syllable more, and ``more`` besides.
+    """
+    if len(piece) == 1:
+        return _like(piece, key)
+    script = "cyrillic" if piece[0] >= "Ѐ" else "latin"
+    parts, last = SYLLABLES[script], endings[gender, script]
+    count, again = 2 + (len(piece) > 8) + more, 0
+    while True:
+        value, out = int.from_bytes(hmac.digest(key, f"{again}|{gender if endings is GIVEN else ''}|{piece.lower()}".encode(), "sha512"), "big"), ""
+        for _ in range(count):
+            for choice in parts:
+                value, k = divmod(value, len(choice))
+                out += choice[k]
+        out = (out + last[value % len(last)]).capitalize()
+        out = out.upper() if piece.isupper() else out
+        if out != piece and out not in TITLES and out.lower() not in PARTICLES:
+            return out
+        again += 1
 
-def _further_name(word: str, key: bytes) -> str:
-    """A word like ``word`` that isn't a title."""
-    out = _like(word, key)
-    while out in TITLES:
-        out = _like(out, key)
-    return out
+
+def _name(rest: list[str], gender: str | None, draw: int, key: bytes) -> None:
+    """Replaces the words of a name, at the odd places of ``rest``; the last one is longer with each draw."""
+    words = rest[1::2]
+    listed = any(words[0] in names for names in NAMES.values())
+    for k, word in enumerate(words):
+        endings = GIVEN if k < len(words) - 1 or k == 0 and listed else SURNAME
+        more = draw if k == len(words) - 1 else 0
+        rest[2 * k + 1] = re.sub(rf"[{_UPPER}{_LOWER}]+", lambda m: _composed(m[0], gender, endings, more, key), word)
+
+
+def plain(kind: str, text: str) -> str:
+    """The entity without what is only its layout: +44 20 7946 0958 and +442079460958 are one."""
+    if kind == "phone":
+        text = text.replace("(0)", "")
+    return re.sub(r"[^0-9A-Za-z+]", "", text) if kind in ("phone", "card", "iban") else text
+
+
+def _with_digits(text: str, digits: str) -> str:
+    """``text`` with its digits, but a trunk zero in brackets, replaced in order."""
+    new = iter(digits)
+    return "".join(part if part == "(0)" else re.sub(r"\d", lambda _: next(new), part) for part in re.split(r"(\(0\))", text))
 
 
 def surrogate(kind: str, text: str, key: bytes, draw: int = 0) -> str:
-    """The replacement of an entity: of its kind and format, fixed by key and draw, one-to-one for each draw.
+    """The replacement of an entity: of its kind and format, fixed by key and draw.
 
-    It never equals ``text`` where the pattern has another text. From draw LONGER on it is lengthened by keyed letters
-    (a name's last word, an e-mail's local part) or digits; an IP address becomes one of version 6.
+    Names are composed of syllables, longer with each draw; all else is one-to-one for each draw. It never equals ``text``
+    where the pattern has another text. From draw LONGER on an e-mail's local part is lengthened by keyed letters,
+    numbers by digits; an IP address becomes one of version 6.
     """
     out = _drawn(kind, text, key, draw)
-    if draw < LONGER:
+    if draw < LONGER or kind == "person":
         return out
-    value = int.from_bytes(hmac.digest(key, f"longer|{kind}|{draw}|{text}".encode("utf-8", "surrogatepass"), "sha512"), "big")
+    value = int.from_bytes(hmac.digest(key, f"longer|{kind}|{draw}|{plain(kind, text)}".encode("utf-8", "surrogatepass"), "sha512"), "big")
     size = 8 + 2 * (draw - LONGER)
     if kind == "ip":
         return _version6(value)
-    alphabet = ALPHABETS[0]
-    if kind in ("person", "email"):
-        alphabet = ALPHABETS[5] if kind == "person" and out[-1] >= "Ѐ" else ALPHABETS[1]
+    alphabet = ALPHABETS[1] if kind == "email" else ALPHABETS[0]
     more = "".join(alphabet[value // len(alphabet) ** k % len(alphabet)] for k in range(size))
     return out.replace("@", more + "@") if kind == "email" else out + more
 
@@ -196,25 +244,23 @@ def _drawn(kind: str, text: str, key: bytes, draw: int) -> str:
         elif kind == "ip":
             value = int.from_bytes(bytes(map(int, text.split("."))), "big")
             out = ".".join(map(str, _permuted(value, 1 << 32, own).to_bytes(4, "big")))
-        elif kind == "phone" and text.startswith("+"):
-            head = re.match(r"\+\d{1,3}(?=\D)|\+\d", text)[0]
-            out = head + _like(text[len(head) :], own)
+        elif kind == "phone":
+            digits = plain(kind, text).lstrip("+")
+            kept = 0 if text[0] != "+" else 1 if digits[0] in "17" else 2  # about the country's code
+            out = _with_digits(text, digits[:kept] + _like(digits[kept:], own))
         elif kind == "card":
-            digits = [k for k, c in enumerate(text) if c.isdigit()]
-            plain = "".join(text[k] for k in digits)
-            valid, made = _luhn(plain[:-1]) == int(plain[-1]), plain
+            number = plain(kind, text)
+            valid, made = _luhn(number[:-1]) == int(number[-1]), number
             while True:  # numbers that pass the check digit stay among such, others among others
                 made = made[0] + _like(made[1:], own)
                 if (_luhn(made[:-1]) == int(made[-1])) == valid:
                     break
-            chars = list(text)
-            for k, c in zip(digits, made):
-                chars[k] = c
-            out = "".join(chars)
+            out = _with_digits(text, made)
         elif kind == "person":
             head, rest = _names(text)
             gender = next((g for t in re.findall(r"[\w-]+", head) if (g := TITLES[t])), None)
-            rest[1::2] = [_name(rest[1], gender, own), *[_further_name(x, own) for x in rest[3::2]]]
+            gender = gender or next((g for (g, _), names in NAMES.items() if rest[1] in names), None)
+            _name(rest, gender, draw, own)
             out = head + "".join(rest)
         elif kind == "iban":
             out = text[:2] + _like(text[2:], own)
@@ -227,8 +273,8 @@ def _drawn(kind: str, text: str, key: bytes, draw: int) -> str:
 
 
 def identity(kind: str, text: str, key: bytes) -> str:
-    """Under which all mentions of an entity meet; doesn't tell the entity."""
-    return hmac.new(key, f"{kind}|{text}".encode("utf-8", "surrogatepass"), hashlib.sha256).hexdigest()[:32]
+    """Under which all mentions of an entity meet, in whatever layout; doesn't tell the entity."""
+    return hmac.new(key, f"{kind}|{plain(kind, text)}".encode("utf-8", "surrogatepass"), hashlib.sha256).hexdigest()[:32]
 
 
 def draws(found: DataFrame, key: bytes) -> DataFrame | None:
@@ -332,12 +378,23 @@ def _with_draws(docs: DataFrame, again: DataFrame, text: str, own: str, key: byt
     return docs.withColumn(mark, digest).join(by_text.withColumnRenamed("h", mark), mark, "left").select(*docs.columns, own)
 
 
-SECRET = "surrogates-of-this-corpus"
+#: The session's setting that holds the key of the registered queries.
+KEY_SETTING = "spark.lodestone.pii.key"
+
+
+def session_key(spark) -> str:
+    """The key in the session's setting KEY_SETTING. Where it is unset, a random one is drawn for this session and kept
+    there: surrogates of different sessions then differ, and nobody can undo them."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     """The operator over all documents: the new text, how many entities were replaced, and which kinds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = pseudonymize(docs, SECRET)
+    rows = pseudonymize(docs, session_key(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("surrogates", lambda s: s["kind"]))), ",")
     return rows.select("doc_id", "text", F.size("surrogates").cast("long").alias("n_replaced"), kinds.alias("kinds"))
