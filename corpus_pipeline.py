@@ -33,7 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; n_chars follows the text."""
-    found = pii.pseudonymize(docs, pii.SECRET)
+    found = pii.pseudonymize(docs, pii.session_key(spark))
     changed = F.size(F.col(found.columns[-1])) > 0
     length = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return found.withColumn("n_chars", length).select(*docs.columns)
