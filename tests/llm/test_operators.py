@@ -67,7 +67,7 @@ def test_licenses_against_brute_force(docs, awkward, empty):
 
 
 def test_licenses_full_grant_shifted_and_partial(spark):
-    grant = licenses.TEMPLATES[8][1]
+    grant = next(words for label, words, _ in licenses.TEMPLATES if label == "bsd")
     rows = spark.createDataFrame([(1, "zz " * 50 + grant.upper().replace(" ", ", ")), (2, " ".join(reversed(grant.split()))), (3, "Licensed under CC BY-NC 4.0."), (4, "plain words")], "doc_id long, text string")
     got = {r.doc_id: r.license for r in licenses.scan_licenses(rows).collect()}
     assert got[1].labels == "bsd" and got[1].score > 0.999 and got[1].n_base == 0
@@ -75,6 +75,55 @@ def test_licenses_full_grant_shifted_and_partial(spark):
     assert got[3].labels == "cc-by-nc" and got[4].score == 0
 
 
+def brute_licences(w, rare, templates):
+    """(labels, best share) by trying every place of both grids for every template."""
+    hits = [(p, x) for p, x in enumerate(w) if x in rare]
+    if not hits:
+        return set(), 0.0
+    own = sorted((rare[x] for x in {x for _, x in hits}), reverse=True)
+    cut = own[min(len(own), max(licenses.LOOKED_UP, (len(own) + 1) // 2)) - 1]
+    labels, best, s = set(), 0.0, licenses.SLACK
+    for label, text, needed in templates:
+        t = text.split()
+        total = sum(rare[x] for x in t if x in rare and rare[x] >= cut)
+        for start in {k for p, x in hits for q in range(len(t)) if t[q] == x for k in ((p - q) // (2 * s) * 2 * s, (p - q + s) // (2 * s) * 2 * s - s)}:
+            there = {q for p, x in hits if rare[x] >= cut for q in range(len(t)) if t[q] == x and start <= p - q < start + 2 * s}
+            share = sum(rare[t[q]] for q in there) / total if there else 0.0
+            best = max(best, share)
+            piece = " " + " ".join(w[max(start, 0) : max(start, 0) + len(t) + 4 * s]) + " "
+            if share >= licenses.LEAST - 1e-12 and all(f" {x} " in piece for x in needed):
+                labels.add(label)
+    return labels, best
+
+
+def test_licence_labels_against_brute_force(spark, docs):
+    rng = random.Random(9)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    plain = [f"plain{k}" for k in range(50)] + ["the", "of", "this", "software", "license", "copy"]
+    for k in range(250):
+        w = [rng.choice(plain) for _ in range(rng.randint(0, 60))]
+        for label, text, needed in rng.sample(licenses.TEMPLATES, rng.randint(0, 3)):
+            t = [x for x in text.split() if rng.random() > 0.15 * (k % 3)]
+            if k % 5 == 0:
+                t.insert(rng.randrange(len(t)), "and something between")
+            at = rng.randint(0, len(w))
+            w[at:at] = t
+        rows.append((10_000 + k, " ".join(w)))
+    rows.append((20_000, "mozilla " * 300 + "public license"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = licenses.word_rarity(frame, sorted(licenses._index(licenses.TEMPLATES)))
+    rare = licenses.licence_words(licenses.TEMPLATES, idf)
+    seen = Counter()
+    for r in licenses.scan_licenses(frame).collect():
+        labels, best = brute_licences(words(r.text), rare, licenses.TEMPLATES)
+        base = set(filter(None, r.license.base_labels.split(",")))
+        assert set(filter(None, r.license.labels.split(","))) == labels | base, r.doc_id
+        if not base:
+            assert r.license.score == pytest.approx(min(1.0, best if labels else best / 2))
+        seen.update(labels)
+    assert len(seen) > 12 and sum(seen.values()) > 150
+
+
 def test_urls_rules_and_parts(spark):
     rows = [(1, "HTTP://WWW.Example.COM/en/1?x"), (2, "https://a.example.com/en/x#y"), (3, "https://b.net/es/1"), (4, "https://b.net/de/1"), (5, None), (6, "no scheme"), (7, "https://x.com"), (8, "https://notexample.com/en/"), (9, "q://h?/a"), (1, "HTTP://WWW.Example.COM/en/1?x")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
