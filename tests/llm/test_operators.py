@@ -260,17 +260,19 @@ def test_jaccard_links_come_from_the_trees(spark):
         rows.append((2_000 + k, " ".join(w)))
     docs = spark.createDataFrame(rows, "key long, text string")
     points = docs.mapInArrow(lambda b: jaccard._point(b, 3, 90), "key long, n long, digest binary, counts binary, cells array<struct<quota:int,codes:array<long>>>")
-    nodes = points.select(F.col("key").alias("id"), "counts", "cells").cache()
-    members = jaccard.shared_cells(nodes.select("id", "cells")).join(nodes.select("id", "counts"), "id")
+    nodes, texts = points.select(F.col("key").alias("id"), "n", "counts", "cells").cache(), docs.select(F.col("key").alias("id"), "text")
+    members = jaccard.shared_cells(nodes.select("id", "cells")).join(nodes.select("id", "n", "counts"), "id")
     assert members.agg(F.max("m")).first()[0] > jaccard.TILE
     pairs = jaccard.first_search(members, 90)
-    links = jaccard.verify(pairs, docs.select(F.col("key").alias("id"), "text"), 3, 90)
+    links = jaccard.verify(pairs, texts, 3, 90)
     found = {tuple(sorted(r)) for r in links.collect()}
     assert {(k, 1_000 + k) for k in range(100)} <= found  # every planted near copy, by the first search
     assert pairs.count() < 12 * 1_400  # not the 845,000 pairs of the hot group
+    # without what the first search found, the further one joins all too, one link a component and point
+    more = jaccard.further_search(members, components(links.limit(0).toDF("a", "b")), texts, 3, 90)
+    assert {(k, 1_000 + k) for k in range(100)}.isdisjoint(tuple(sorted(r)) for r in more.collect())  # cells of two are settled
     joined = components(links.toDF("a", "b"))
-    more = jaccard.further_search(members, joined, 90).count()
-    assert more < 1_400
+    assert jaccard.further_search(members, joined, texts, 3, 90).count() == 0
     got = {r.key: r.component for r in jaccard.link_documents(docs, key="key").collect()}
     assert all(got[1_000 + k] == k for k in range(100)) and {got[2_000 + k] for k in range(1_300)} == {200}
     with pytest.raises(ValueError):
