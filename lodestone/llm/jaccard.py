@@ -17,8 +17,8 @@ SHINGLE, LINK = 3, 90
 #: Below this threshold, neighbouring bands of sizes don't hold all linked sets any more.
 LEAST_LINK = 75
 #: Coordinates of a count vector (shingles are hashed into so many groups) of a set below WIDE; twice as many from there
-#: on for each doubling of the set, so that the counts of unlike sets keep apart.
-GROUPS, WIDE = 64, 4096
+#: on for each doubling of the set, so that the counts of unlike sets keep apart. A coordinate is a byte.
+GROUPS, WIDE = 256, 2048
 #: Sizes of one band differ by less than this factor; sets of one band are cut into equally many slices.
 BAND = 1.5
 #: Ways to cut a set into slices, of which the next is taken where too many slices are empty.
@@ -27,8 +27,8 @@ CUTS = 16
 LEAF = 32
 #: Points, and searches, that one tree holds of a cell at a time.
 TILE = 512
-#: Shingle hashes that one tree's points, and its searches, hold at most, but for a single longer text.
-TILE_HASHES = 500_000
+#: Pairs that a task remembers to have given.
+REMEMBERED = 200_000
 #: Partners of one text that are verified in one run.
 RUN = 128
 #: So many ids (16 bytes each) may be broadcast; with more, rows are joined by a shuffle.
@@ -105,7 +105,11 @@ def cells_of(hashes: np.ndarray, link: int = LINK) -> list[tuple[int, np.ndarray
 def count_vector(hashes: np.ndarray) -> np.ndarray:
     """Shingles by group; the number of groups is a power of two, so that a longer vector folds to a shorter one."""
     groups = GROUPS << max(0, len(hashes).bit_length() - WIDE.bit_length() + 1)
-    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    while True:
+        counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
 
 
 def _lists(offsets: list[int], values: pa.Array) -> pa.Array:
@@ -137,10 +141,14 @@ def _point(batches, shingle: int, link: int):
 
 def _vectors(column: list[bytes]) -> np.ndarray:
     """Count vectors as rows, folded to the shortest of them."""
-    groups = min(map(len, column)) // 4
-    if max(map(len, column)) // 4 > groups:
-        return np.stack([np.frombuffer(c, np.int32).reshape(-1, groups).sum(axis=0, dtype=np.int32) for c in column])
-    return np.frombuffer(b"".join(column), np.int32).reshape(-1, groups)
+    groups = min(map(len, column))
+    if max(map(len, column)) > groups:
+        return np.stack([np.frombuffer(c, np.uint8).reshape(-1, groups).sum(axis=0, dtype=np.uint16) for c in column])
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, groups)
+
+
+def _sum(points: np.ndarray) -> np.ndarray:
+    return points.sum(axis=1, dtype=np.int64)
 
 
 def _may_link(overlap: np.ndarray, total: np.ndarray, link: int) -> np.ndarray:
@@ -156,15 +164,15 @@ class RTree:
         self.order = np.arange(len(points))
         if len(points) > LEAF:
             spread = np.argsort(-points.var(axis=0), kind="stable")[:3]
-            self.order = np.lexsort((*[points[:, k] for k in spread], points.sum(axis=1)))
+            self.order = np.lexsort((*[points[:, k] for k in spread], _sum(points)))
         self.points = points[self.order]
-        self.sizes = self.points.sum(axis=1)
+        self.sizes = _sum(self.points)
         self.levels = []
         low = high = self.points
         while len(low) > LEAF:
             cut = np.arange(0, len(low), LEAF)
             low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
-            self.levels.append((high, low.sum(axis=1)))
+            self.levels.append((high, _sum(low)))
 
     def search(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the points whose summed coordinate minima with ``point`` can reach the threshold, and these sums."""
@@ -172,10 +180,10 @@ class RTree:
         at = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
         for level in range(len(self.levels) - 1, -1, -1):
             high, low = self.levels[level]
-            at = at[_may_link(np.minimum(high[at], point).sum(axis=1), size + low[at], self.link)]
+            at = at[_may_link(_sum(np.minimum(high[at], point)), size + low[at], self.link)]
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < (len(self.levels[level - 1][0]) if level else len(self.points))]
-        overlap = np.minimum(self.points[at], point).sum(axis=1)
+        overlap = _sum(np.minimum(self.points[at], point))
         keep = _may_link(overlap, size + self.sizes[at], self.link)
         return self.order[at[keep]], overlap[keep]
 
@@ -218,7 +226,7 @@ def _nearest(batches, link: int):
         ids, role = (run.column(c).to_numpy() for c in ("id", "role"))
         points = _vectors(run.column("counts").to_pylist())
         there = np.flatnonzero(role != ASKS)
-        tree, sizes = RTree(points[there], link), points.sum(axis=1)
+        tree, sizes = RTree(points[there], link), _sum(points)
         for k in np.flatnonzero(role != FOUND):
             near, overlap = tree.search(points[k])
             near = there[near]
@@ -235,43 +243,25 @@ def _nearest(batches, link: int):
     yield _pairs(hubs, askers)
 
 
-def _hashed(batches, shingle: int):
-    """(id, text) -> (id, hashes): the sorted 64-bit hashes of the text's shingles."""
-    for batch in batches:
-        sets = [shingles(x.as_py(), shingle) for x in batch.column(1)]
-        hashes = [np.sort(np.fromiter(map(xxhash.xxh64_intdigest, x), np.uint64, len(x))).tobytes() for x in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["id", "hashes"])
-
-
 def _others(batches, link: int):
-    """(cell, points, searches, id, component, large, role, hashes), sorted -> (hub, id): for each searching point one link
-    to each other component that it has one to.
-
-    The tree leaves out what the summed minima rule out; the hashes of all other points are compared. ``large`` points, of
-    the cell's largest component, are found but don't search.
-    """
+    """(cell, points, searches, id, component, large, role, counts), sorted -> (hub, id): pairs of different components
+    that the tree can't rule out, each once while the task remembers it. ``large`` points, of the cell's largest component,
+    are found but don't search."""
+    met: set[tuple[int, int]] = set()
     for run in _runs(batches, 3):
         ids, comp, large, role = (run.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "large", "role"))
-        hashes = [np.frombuffer(h, np.uint64) for h in run.column("hashes").to_pylist()]
-        points = _vectors([count_vector(h).tobytes() for h in hashes])
+        points = _vectors(run.column("counts").to_pylist())
         own, there = np.flatnonzero(role == ASKS), np.flatnonzero(role == FOUND)
         if not len(own) or not len(there):
             continue
-        tree, size = RTree(points[there], link), np.array([len(h) for h in hashes])
-        hubs, askers = [], []
+        tree = RTree(points[there], link)
         for k in own:
             near = there[tree.search(points[k])[0]]
             near = near[(comp[near] != comp[k]) & (large[near] | (ids[near] > ids[k]))]
-            if not len(near):
-                continue
-            every = np.concatenate([hashes[j] for j in near])
-            at = np.minimum(np.searchsorted(hashes[k], every), size[k] - 1)
-            both = np.add.reduceat((hashes[k][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
-            near = near[_may_link(both, size[near] + size[k], link)]
-            _, one = np.unique(comp[near], return_index=True)
-            hubs += ids[near[one]].tolist()
-            askers += [int(ids[k])] * len(one)
-        yield _pairs(hubs, askers)
+            new = {(min(int(ids[k]), j), max(int(ids[k]), j)) for j in ids[near].tolist()} - met
+            if new:
+                met = met | new if len(met) < REMEMBERED else new
+                yield _pairs([a for a, _ in new], [b for _, b in new])
 
 
 def _tiles(number: str) -> F.Column:
@@ -302,29 +292,22 @@ def first_search(members: DataFrame, link: int) -> DataFrame:
     return pairs.groupBy(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).agg(F.min("hub").alias("hub")).select("hub", (F.col("a") + F.col("b") - F.col("hub")).alias("id"))
 
 
-def further_search(members: DataFrame, found: DataFrame, texts: DataFrame, shingle: int, link: int) -> DataFrame:
-    """(hub, id), each pair once: links, by hash, that join the components which cells still hold.
+def further_search(members: DataFrame, found: DataFrame, link: int) -> DataFrame:
+    """(hub, id), each pair once: all that the R-trees can't rule out between the components that cells still hold.
 
-    ``members``: (cell, m, id, n); ``found``: (node, component) so far. The points outside a cell's largest component
-    search it. A cell's points are dealt into tiles by a hash of their ids, and so are its searches; each tile of searches
-    meets each tile of points, so that no tree grows with a hot cell. A tile holds about TILE points, and fewer of long
-    texts. Hashes are compared where the points are, so that pairs which don't link are never rows. Cells of two points
-    have been searched whole before.
+    ``found``: (node, component) so far. The points outside a cell's largest component search it. A cell's points are
+    dealt into tiles of about TILE by a hash of their ids, and so are its searches; each tile of searches meets each tile
+    of points, so that no tree grows with a hot cell. Cells of two points have been searched whole before.
     """
-    rows = members.where("m > 2").join(found, members["id"] == found["node"], "left").select("cell", "id", "n", F.coalesce("component", "id").alias("component"))
-    parts = rows.groupBy("cell", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    sizes = parts.groupBy("cell").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    tiles = lambda k, n: F.ceil(F.greatest(k / TILE, n / TILE_HASHES)).cast("int")
-    mixed = sizes.select("cell", F.col("top.component").alias("largest"), tiles(F.col("k"), F.col("n")).alias("np"), tiles(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("ns"))
-    rows = durable(rows.join(small(durable(mixed, "mixed"), BROADCAST_IDS), "cell").withColumn("large", F.col("component") == F.col("largest")), "unsettled")
-    ids = durable(rows.select("id").distinct(), "ids")
-    bodies = texts.join(small(ids, BROADCAST_IDS), "id", "left_semi").select("id", "text").mapInArrow(lambda batches: _hashed(batches, shingle), "id long, hashes binary")
-    rows = rows.join(durable(bodies, "hashes"), "id")
+    rows = members.where("m > 2").join(found, members["id"] == found["node"], "left").select("cell", "id", "counts", F.coalesce("component", "id").alias("component"))
+    sizes = rows.groupBy("cell", "component").agg(F.count("*").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
+    mixed = sizes.where("parts > 1").select("cell", F.col("top.component").alias("largest"), _tiles("n").alias("np"), F.ceil((F.col("n") - F.col("top.n")) / TILE).cast("int").alias("ns"))
+    rows = rows.join(small(durable(mixed, "mixed"), BROADCAST_IDS), "cell").withColumn("large", F.col("component") == F.col("largest"))
     rest = ("id", "component", "large")
-    point = rows.select("cell", _dealt("id", F.col("np")).alias("points"), _every(F.col("ns")).alias("searches"), *rest, F.lit(FOUND).alias("role"), "hashes")
-    search = rows.where("not large").select("cell", _every(F.col("np")).alias("points"), _dealt("id", F.col("ns")).alias("searches"), *rest, F.lit(ASKS).alias("role"), "hashes")
-    tile = ("cell", "points", "searches")
-    return point.union(search).repartition(*tile).sortWithinPartitions(*tile).mapInArrow(lambda batches: _others(batches, link), "hub long, id long").distinct()
+    point = rows.select("cell", _dealt("id", F.col("np")).alias("points"), _every(F.col("ns")).alias("searches"), *rest, F.lit(FOUND).alias("role"), "counts")
+    search = rows.where("not large").select("cell", _every(F.col("np")).alias("points"), _dealt("id", F.col("ns")).alias("searches"), *rest, F.lit(ASKS).alias("role"), "counts")
+    tiles = ("cell", "points", "searches")
+    return point.union(search).repartition(*tiles).sortWithinPartitions(*tiles).mapInArrow(lambda batches: _others(batches, link), "hub long, id long").distinct()
 
 
 def _verified(batches, shingle: int, link: int):
@@ -387,9 +370,8 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", shi
     2. ``first_search``: the R-tree of each cell is searched by each of its points; boxes and points whose summed
        coordinate minima can't reach the threshold are left out. The nearest point and the one with the smallest key
        are verified on whole shingle sets, and the links joined into components.
-    3. ``further_search``: in cells that still hold several components, all that the trees can't rule out between different
-       ones is compared by hash, and a link of each is verified too. A hot group of near copies is one component by then
-       and isn't expanded into its pairs.
+    3. ``further_search``: in cells that still hold several components, every pair of different ones that the trees can't
+       rule out is verified too. A hot group of near copies is one component by then and isn't expanded into its pairs.
 
     Returns (key, n_shingles, component, joining_links): a row per row of ``docs``; ``component`` is the smallest key
     reachable, ``joining_links`` the verified links of the row's set, and its copies, that were looked up to join
@@ -413,16 +395,20 @@ def link_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", shi
     classes = durable(sets.groupBy("digest").agg(F.min("key").alias("id"), F.count("*").alias("copies")), "classes")
     # one row for each set: the others with its digest are dropped before their cells are unfolded
     copied = small(durable(classes.where("copies > 1").select("digest", F.col("id").alias("first")), "copied"), BROADCAST_IDS)
-    nodes = sets.join(copied, "digest", "left").where("first is null or first = key").select(F.col("key").alias("id"), "n", "counts", "cells")
-    members = durable(shared_cells(nodes.select("id", "cells")).join(nodes.select("id", "n", "counts"), "id"), "members")
+    nodes = sets.join(copied, "digest", "left").where("first is null or first = key").select(F.col("key").alias("id"), "counts", "cells")
+    members = durable(shared_cells(nodes.select("id", "cells")).join(nodes.select("id", "counts"), "id"), "members")
     texts = source.where("key is not null").select(F.col("key").alias("id"), "text")
     pairs = durable(first_search(members, link), "pairs")
     links = verify(pairs, texts, shingle, link)
     found = components(links.toDF("a", "b"))
-    more = durable(further_search(members, found, texts, shingle, link), "more")
+    more = further_search(members, found, link)
+    tried = pairs.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
+    more = durable(more.join(tried, ["hub", "id"], "left_anti"), "more")
     if more.limit(1).count():
-        links = links.union(verify(more, texts, shingle, link))
-        found = components(links.toDF("a", "b"))
+        further = verify(more, texts, shingle, link)
+        if further.limit(1).count():
+            links = links.union(further)
+            found = components(links.toDF("a", "b"))
     degree = links.select(F.explode(F.array("hub", "id")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     of_class = classes.join(found, classes["id"] == found["node"], "left").drop("node").join(degree, classes["id"] == degree["node"], "left")
     of_class = of_class.select("digest", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
