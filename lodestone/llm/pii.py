@@ -34,9 +34,10 @@ _LETTERS = [c for c in map(chr, (*range(0x41, 0x250), *range(0x400, 0x530))) if
 _UPPER, _LOWER = ("".join(c for c in _LETTERS if test(c)) for test in (str.isupper, str.islower))
 #: A word of a name: McDonald, O'Brien, Anne-Marie, Łukasz; without a possessive 's.
 _NAME = rf"[{_UPPER}](?:(?:(?!['’]s\b)['’-])?[{_UPPER}{_LOWER}])*"
-_TITLE = r"(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(?:\.[ \u00a0]?|[ \u00a0])[ \u00a0]*"
+_TITLE = rf"(?=[{''.join(sorted({t[0] for t in TITLES}))}])(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(?:\.[ \u00a0]?|[ \u00a0])[ \u00a0]*"
 _PART = rf"(?:(?:{'|'.join(PARTICLES)})[ \u00a0]+)*(?:[dDlL]['’])?(?!{_TITLE})(?:{_NAME}(?<=\w\w)|[{_UPPER}]\.(?=[ \u00a0]?[{_UPPER}]))"
-_GIVEN = "|".join(sorted((n for names in NAMES.values() for n in names), key=len, reverse=True))
+_FIRST = "".join(sorted({n[0] for names in NAMES.values() for n in names}))
+_GIVEN = rf"(?=[{_FIRST}])(?:" + "|".join(sorted((n for names in NAMES.values() for n in names), key=len, reverse=True)) + r")(?=[ \u00a0])"
 #: In order of preference where matches overlap.
 KINDS = (
     ("email", r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -45,11 +46,11 @@ KINDS = (
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
-    ("person", rf"\b(?:(?:{_TITLE})+{_PART}|(?:{_GIVEN})[ \u00a0]+{_PART})(?:(?:[ \u00a0]+|(?<=\.)){_PART})*"),
+    ("person", rf"\b(?:(?:{_TITLE})+{_PART}|{_GIVEN}[ \u00a0]+{_PART})(?:(?:[ \u00a0]+|(?<=\.)){_PART})*"),
 )
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS))
 #: What a text must hold to have any entity.
-_GATE = re.compile(rf"@|\d{{2}}|\b(?:{_TITLE}|(?:{_GIVEN})[ \u00a0])")
+_GATE = re.compile(rf"@|\d{{2}}|\b(?:{_TITLE}|{_GIVEN})")
 _TITLED, _WORD, _PIECE = re.compile(rf"(?:{_TITLE})+"), re.compile(rf"(?<!\w){_NAME}"), re.compile(rf"[{_UPPER}][{_UPPER}{_LOWER}]+")
 #: Alphabets; a character keeps its alphabet, so script, case and format stay.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
