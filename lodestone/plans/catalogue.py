@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions import scalars
+from ..operators import versions
 from ..sources.tables import shared_dir
 from ..streaming.validation import run_to_table
 
@@ -202,6 +204,41 @@ def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(newest, f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}")
 
 
+def _latest(read) -> DataFrame:
+    return versions.latest(read("events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+def _first(read) -> DataFrame:
+    return versions.first(read("events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"])
+
+
+def _redacted(read) -> DataFrame:
+    text, matches = scalars.redact(F.col("text"), "[0-9]+")
+    return read("documents").select("doc_id", matches.alias("matches"), text.alias("redacted"))
+
+
+def _agreeing(read) -> DataFrame:
+    lines = read("lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount"))).alias("s"))
+    rows = read("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select("o_orderkey", (~scalars.is_close(F.col("o_totalprice"), F.col("s"), atol=1e-2)).alias("bad"))
+
+
+#: Queries whose rows come through the library's own operators; their SQL, above, is what they are compared with.
+LIBRARY = {
+    "latest_wins": _latest,
+    "first_match_wins": _first,
+    "scrub_redact": _redacted,
+    "agree_within_tol": _agreeing,
+    "pointer_escape": lambda read: read("pages").select("page_id", scalars.pointer_escape(F.col("url")).alias("ptr")),
+    "number_parse": lambda read: read("part").select("p_partkey", scalars.finite_number(F.concat(F.col("p_size").cast("string"), F.lit(".5D2"))).alias("v")),
+    "tensor_shape_check": lambda read: read("embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), (scalars.tensor_bytes(F.lit(4), F.array(F.size("embedding"))) == 256).alias("ok")),
+}
+
+
+def _through_library(rows):
+    return lambda spark, sf_dir: rows(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+
 FUNCTIONS = {
     "stream_latest_status": (stream_latest_status, "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) t where rn = 1"),
     "ref_edges": (reference_edges, _edges_sql()),
@@ -221,7 +258,8 @@ def _sql(text: str):
 
 
 def queries() -> dict:
-    return {k: f for k, (f, _) in FUNCTIONS.items()} | {k: _sql(t) for k, t in SHARED.items()} | {k: _sql(t) for k, (t, _) in PAIRS.items()}
+    texts = {k: _sql(t) for k, t in SHARED.items()} | {k: _sql(t) for k, (t, _) in PAIRS.items()}
+    return {k: f for k, (f, _) in FUNCTIONS.items()} | texts | {k: _through_library(f) for k, f in LIBRARY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
