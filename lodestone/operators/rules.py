@@ -141,6 +141,10 @@ class Corpus:
         rows = rows.withColumn("what", code).where("what is not null")
         return finding(rows, F.col("what"), F.concat(F.lit("/"), "key"), F.concat(F.lit("format version "), F.coalesce("value", F.lit("absent"))))
 
+    def byte_order(self) -> DataFrame:
+        stated = kind_at(F.col("root"), "$.byte_order").isNotNull() & (F.coalesce(get(F.col("root"), "$.byte_order"), F.lit("")) != "little")
+        return finding(self.roots.where(stated), "E_SCHEMA", F.lit("/byte_order"), F.lit("members are little-endian; no other byte order can be stated"))
+
     def source(self) -> DataFrame:
         out, isobject = [], F.startswith(kind_at(F.col("root"), "$.source"), F.lit("OBJECT"))
         rows = self.roots
@@ -264,7 +268,7 @@ class Corpus:
     def spectrum_lengths(self) -> DataFrame:
         rows = self.documents(*((k, "spectrum") for k in catalog.SPECTRA))
         size = lambda p: F.when(F.startswith(kind_at(F.col("doc"), p), F.lit("ARRAY")), F.size(F.from_json(F.to_json(F.try_variant_get("doc", p, "variant")), "array<string>")))
-        pairs = [("$.frequencies", "$.intensities"), ("$.x", "$.intensities")]
+        pairs = [("$.frequencies", "$.intensities"), ("$.frequencies", "$.x")]
         return reduce(DataFrame.union, [finding(rows.where(size(a) != size(b)), "E_PAYLOAD_SCHEMA", here(F.col("section"), "/members/spectrum"), F.lit(f"{a} and {b} differ in length"), F.col("section")) for a, b in pairs])
 
     def bond_indices(self) -> DataFrame:
@@ -328,7 +332,7 @@ class Corpus:
 
     RULES = {
         "container": ("unreadable", "duplicate_entries", "entry_paths", "entry_sizes"),
-        "manifest": ("version", "source", "section_shape", "section_ids", "section_kinds", "member_specs", "orphans"),
+        "manifest": ("version", "byte_order", "source", "section_shape", "section_ids", "section_kinds", "member_specs", "orphans"),
         "payloads": ("payload_bytes",),
         "semantics": ("periodicity", "charge_multiplicity", "spectrum_lengths", "bond_indices", "excited_order", "elastic_symmetry", "kpoint_weights", "files_index", "declared_units", "provenance_units"),
         "references": ("unresolved",),

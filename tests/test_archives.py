@@ -61,6 +61,9 @@ CASES = {
     "deep": (build(water(), change=lambda m: m.update(x=json.loads("[" * 70 + "]" * 70))), {"E_JSON_TOO_DEEP"}),
     "version_3": (build(water(), change=lambda m: m.update({VERSION_KEY: 3})), {"E_VERSION"}),
     "version_2": (build(water(), change=lambda m: m.update({VERSION_KEY: 2})), {"W_VERSION_WITHDRAWN"}),
+    "order_big": (build(water(), change=lambda m: m.update(byte_order="big")), {"E_SCHEMA"}),
+    "order_number": (build(water(), change=lambda m: m.update(byte_order=1)), {"E_SCHEMA"}),
+    "order_absent": (build(water(), change=lambda m: m.pop("byte_order")), set()),
     "source": (build(water(), change=lambda m: m["source"].pop("program")), {"E_SOURCE"}),
     "orphan": (build(water(), raw=[("left/over", b"x"), ("left/", b"")]), {"W_ORPHAN_MEMBER"}),
     "superseded": (with_entry(build(water()), "manifest.json", zipfile.ZipFile(io.BytesIO(build(water()))).read("manifest.json")), {"W_ORPHAN_MEMBER"}),
@@ -91,6 +94,7 @@ CASES = {
     "charge": (edited(lambda s: section(s, "mol").update(charge=11)), {"E_CHARGE_MULTIPLICITY"}),
     "bond": (edited(lambda s: section(s, "mol")["members"]["bonds"]["pairs"].append({"i": 0, "j": 3})), {"E_MEMBER_MALFORMED"}),
     "spectrum": (edited(lambda s: section(s, "ir")["members"]["spectrum"].update(intensities=[1.0])), {"E_PAYLOAD_SCHEMA"}),
+    "spectrum_x": (edited(lambda s: (section(s, "ir")["members"]["spectrum"].pop("intensities"), section(s, "ir")["members"]["spectrum"].update(x=[1.0]))), {"E_PAYLOAD_SCHEMA"}),
     "files": (edited(lambda s: section(s, "run")["members"]["files"].update(other={})), {"E_FILES_INDEX"}),
     "unit": (edited(lambda s: section(s, "rho")["members"]["grid"].update(units={"origin": "furlong"})), {"W_UNIT_UNKNOWN"}),
     "unit_root": (edited(lambda s: s.update(provenance={"cutoff": {"value": 3, "units": "parsec"}, "ok": {"value": 3, "units": "Eh"}, "n": 4})), {"W_UNIT_UNKNOWN"}),
