@@ -87,6 +87,19 @@ def odd_double_factorial(n: Column) -> Column:
     return F.aggregate(F.when(n >= 1, F.sequence(F.lit(1), n, F.lit(2))).otherwise(F.array(F.lit(1))), F.lit(1).cast("double"), lambda a, k: a * k)
 
 
+def component_factors(l: Column, pure: Column) -> Column:  # noqa: E741
+    """Self-overlap of each component of a shell over that of its axial one.
+
+    Spherical components all have 1; Cartesian ones, in descending powers of x, then y, the product of (2k-1)!! over the
+    three powers by (2l-1)!!.
+    """
+    odd = lambda k: odd_double_factorial((2 * k - 1).cast("int"))
+    down = lambda n: F.sequence(n, F.lit(0), F.lit(-1))
+    l = l.cast("int")  # noqa: E741
+    cartesian = F.flatten(F.transform(down(l), lambda x: F.transform(down(l - x), lambda y: odd(x) * odd(y) * odd(l - x - y) / odd(l))))
+    return F.when(pure, F.array_repeat(F.lit(1.0), (2 * l + 1).cast("int"))).otherwise(cartesian)
+
+
 def primitive_norm(l: Column, exponent: Column) -> Column:  # noqa: E741
     """Norm of a Gaussian primitive along an axis: (2a/pi)^(3/4) (4a)^(l/2) / sqrt((2l-1)!!)."""
     return F.pow(2 * exponent / F.lit(3.141592653589793), F.lit(0.75)) * F.pow(4 * exponent, l / 2.0) / F.sqrt(odd_double_factorial((2 * l - 1).cast("int")))

@@ -64,7 +64,7 @@ class Corpus:
 
     def stored(self) -> Corpus:
         """The same corpus with its tables written; of the members' bytes only those that rules read are kept."""
-        needed = ((F.col("kind") == "preview") | ((F.col("kind") == "run.record") & F.col("role").isin("input", "log")) | (F.col("kind").isin("trajectory", "reaction.path") & (F.col("role") == "energies")))
+        needed = ((F.col("kind") == "preview") | ((F.col("kind") == "run.record") & F.col("role").isin("input", "log")) | (F.col("kind").isin("trajectory", "reaction.path") & (F.col("role") == "energies")) | ((F.col("kind") == "wavefunction.gto") & (F.col("role") == "overlap")))
         out = Corpus(self.archives, self.limits, self.payloads)
         out.__dict__ |= {
             "entries": durable(self.entries, "entries"),
@@ -340,11 +340,11 @@ class Corpus:
 
     def findings(self, level: str = "references") -> DataFrame:
         """All findings of the rules up to ``level``; only those rules are planned."""
-        from . import semantics
+        from . import orbitals, semantics
 
         levels = LEVELS[: LEVELS.index(level) + 1]
         own = [getattr(self, n)().withColumn("rule", F.lit(n)) for k in levels for n in self.RULES[k]]
-        more = [f(self).withColumn("rule", F.lit(f.__name__)) for k in levels for f in semantics.RULES.get(k, ())]
+        more = [f(self).withColumn("rule", F.lit(f.__name__)) for k in levels for m in (semantics, orbitals) for f in m.RULES.get(k, ())]
         return reduce(DataFrame.union, own + more)
 
     def report(self, level: str = "references") -> DataFrame:

@@ -219,6 +219,24 @@ def tensors(member_rows: DataFrame) -> DataFrame:
     return rows.select("archive", "section_id", "kind", "role", "dtype", "shape", "content").mapInArrow(work, ddl)
 
 
+def diagonals(member_rows: DataFrame) -> DataFrame:
+    """(archive, section, dtype, n, ao, value): the diagonals of square binary members; others have no rows."""
+
+    def work(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                name, shape = (r["dtype"] or "").strip('"'), json.loads(r["shape"] or "[]")
+                size = len(shape) == 2 and shape[0] == shape[1] and isinstance(shape[0], int) and shape[0]
+                if not size or name not in DTYPES or len(r["content"]) != np.dtype(DTYPES[name]).itemsize * size * size:
+                    continue
+                values = np.frombuffer(r["content"], DTYPES[name])[:: size + 1].astype(float)
+                same = [pa.array([r[c]] * size, t) for c, t in (("archive", pa.string()), ("section", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([name] * size), pa.array([size] * size, pa.int64()), pa.array(range(size), pa.int64()), pa.array(values)], ["archive", "section", "dtype", "n", "ao", "value"])
+
+    rows = member_rows.where("format = 'binary' and dtype is not null and content is not null")
+    return rows.select("archive", "section", "dtype", "shape", "content").mapInArrow(work, "archive string, section int, dtype string, n long, ao long, value double")
+
+
 def _contents(name: str, content: bytes):
     z = _opened(content)
     for entry in dict.fromkeys(z.namelist()) if z else ():
