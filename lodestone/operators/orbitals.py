@@ -11,8 +11,9 @@ from ..functions.scalars import ao_count, component_factors
 from ..sources import archives as A
 from . import catalog, geometry
 from .rules import Corpus, finding, get, here, kind_at, string_at
-from .semantics import _all, _say, _typed, shapes, structures
+from .semantics import _all, _say, _typed, say_all, shapes, structures
 
+BAD, GONE = "E_MEMBER_MALFORMED", "E_REF_UNRESOLVED"
 COEFFICIENTS = ("mo_coefficients", "mo_coefficients_alpha", "mo_coefficients_beta")
 MATRICES = ("overlap", "density_matrix", "density_matrix_alpha", "density_matrix_beta")
 CHANNELS = ("alpha", "beta")
@@ -72,33 +73,29 @@ def coefficient_ranks(corpus: Corpus) -> DataFrame:
     declared = F.when(kind_at(d, "$.complex").isNotNull(), F.when(kind_at(d, "$.complex") == "BOOLEAN", get(d, "$.complex", "boolean"))).when(kind_at(d, "$.coefficient_encoding").isNotNull(), encoding).otherwise(F.lit(False))
     meta = corpus.documents(("wavefunction.gto", "mo_metadata")).select("archive", "section", declared.alias("complex"))
     rows = shapes(corpus, ("wavefunction.gto",), COEFFICIENTS).join(meta, ["archive", "section"])
-    out = []
-    for role in COEFFICIENTS:
-        n, last = F.size(role), F.element_at(F.col(role), -1)
-        bad = F.when(F.col("complex"), (n != 3) | (last != 2)).otherwise(n != 2)
-        out.append(_say(rows.where(F.col(role).isNotNull() & F.col("complex").isNotNull() & bad), "E_MEMBER_MALFORMED", role, F.concat(F.lit("wrong extents for complex = "), F.col("complex"))))
-    return _all(out)
+    off = lambda role: F.when(F.col("complex"), (F.size(role) != 3) | (F.element_at(F.col(role), -1) != 2)).otherwise(F.size(role) != 2)
+    return say_all(rows, *[(F.col(r).isNotNull() & F.col("complex").isNotNull() & off(r), BAD, r, F.concat(F.lit("wrong extents for complex = "), F.col("complex"))) for r in COEFFICIENTS])
 
 
 def symmetry_labels(corpus: Corpus) -> DataFrame:
     """There is a label for each orbital energy."""
-    rows = corpus.documents(("wavefunction.gto", "mo_metadata"))
-    return _all([_say(rows.where(_length(F.col("doc"), f"$.{p}symmetry_labels") != _length(F.col("doc"), f"$.{p}energies")), "E_MEMBER_MALFORMED", "mo_metadata", f"{p}symmetry_labels and {p}energies differ in length") for p in ("", "alpha.", "beta.")])
+    rows, d = corpus.documents(("wavefunction.gto", "mo_metadata")), F.col("doc")
+    return say_all(rows, *[(_length(d, f"$.{p}symmetry_labels") != _length(d, f"$.{p}energies"), BAD, "mo_metadata", f"{p}symmetry_labels and {p}energies differ in length") for p in ("", "alpha.", "beta.")])
 
 
 def orbital_matrices(corpus: Corpus) -> DataFrame:
     """Overlap and densities are square in the basis; densities go with the coefficients of their own spin layout."""
     rows = shapes(corpus, ("wavefunction.gto",), MATRICES).join(basis_shells(corpus).select("archive", "section", "n_ao"), ["archive", "section"])
-    out = [_say(rows.where(F.col(r) != F.array("n_ao", "n_ao")), "E_MEMBER_MALFORMED", r, F.concat(F.lit("not square in the basis functions: "), "n_ao")) for r in MATRICES]
     have = corpus.members.where("kind = 'wavefunction.gto'").groupBy("archive", "section").agg(F.collect_set("role").alias("roles"))
     has = lambda role: F.array_contains("roles", role)
     both = has("mo_coefficients_alpha") & has("mo_coefficients_beta")
-    out.append(_say(have.where(has("density_matrix") & ~has("mo_coefficients")), "E_MEMBER_MALFORMED", "density_matrix", "only beside mo_coefficients"))
+    tests = [(has("density_matrix") & ~has("mo_coefficients"), BAD, "density_matrix", "only beside mo_coefficients")]
     for ch, other in (CHANNELS, CHANNELS[::-1]):
-        own = have.where(has(f"density_matrix_{ch}"))
-        out.append(_say(own.where(~both), "E_MEMBER_MALFORMED", f"density_matrix_{ch}", "only beside coefficients of both spins"))
-        out.append(_say(own.where(both & ~has(f"density_matrix_{other}")), "E_MEMBER_MALFORMED", f"density_matrix_{ch}", "the other spin's density is missing"))
-    return _all(out)
+        own = has(f"density_matrix_{ch}")
+        tests.append((own & ~both, BAD, f"density_matrix_{ch}", "only beside coefficients of both spins"))
+        tests.append((own & both & ~has(f"density_matrix_{other}"), BAD, f"density_matrix_{ch}", "the other spin's density is missing"))
+    square = [(F.col(r) != F.array("n_ao", "n_ao"), BAD, r, F.concat(F.lit("not square in the basis functions: "), "n_ao")) for r in MATRICES]
+    return say_all(rows, *square).union(say_all(have, *tests))
 
 
 def electron_counts(corpus: Corpus, atol: float = 1e-6) -> DataFrame:
@@ -111,10 +108,12 @@ def electron_counts(corpus: Corpus, atol: float = 1e-6) -> DataFrame:
     total = sum((F.coalesce(_sum(_numbers(d, p)), F.lit(0.0)) for p in paths), F.lit(0.0))
     meta = corpus.documents(("wavefunction.gto", "mo_metadata")).where(F.coalesce(string_at(d, "$.occupation_semantics"), F.lit("")) != "transition_weight")
     meta = meta.select("archive", "section", given.alias("given"), read.alias("read"), total.alias("total")).where("given > 0 and given = read")
-    off = basis.join(meta, ["archive", "section"]).where(F.abs(F.col("total") - F.col("n")) > atol)
     root = corpus.roots.select("archive", _number(F.col("root"), "$.provenance.n_electrons").alias("stated"))
-    return _say(off, "E_MEMBER_MALFORMED", "basis", F.concat(F.lit("n_electrons isn't the sum of the occupations: "), "total")).union(
-        _say(basis.join(root, "archive").where("stated <> n"), "E_ROOT_INCONSISTENT", "basis", F.concat(F.lit("provenance.n_electrons is "), "stated")))
+    return say_all(
+        basis.join(meta, ["archive", "section"], "left").join(root, "archive", "left"),
+        (F.abs(F.col("total") - F.col("n")) > atol, BAD, "basis", F.concat(F.lit("n_electrons isn't the sum of the occupations: "), "total")),
+        (F.col("stated") != F.col("n"), "E_ROOT_INCONSISTENT", "basis", F.concat(F.lit("provenance.n_electrons is "), "stated")),
+    )
 
 
 def normalization(corpus: Corpus, rtol: float = 1e-6) -> DataFrame:
@@ -142,31 +141,32 @@ def bloch(corpus: Corpus) -> DataFrame:
     s = s.withColumn("five", F.when((F.size(c) == 5) & (c[4] == 2) & c[1].isin(1, 2), c))
     three = lambda role: F.when(F.size(role) == 3, F.col(role))
     s = s.withColumn("dims", F.coalesce(F.slice("five", 1, 3), three("energies"), three("occupations")))
-    say = lambda rows, role, text: _say(rows, "E_MEMBER_MALFORMED", role, text)
-    out = [say(s.where(c.isNotNull() & F.col("five").isNull()), "mo_coefficients", "extents must be [k, 1 or 2 spins, orbital, function, 2]")]
+    tests = [(c.isNotNull() & F.col("five").isNull(), BAD, "mo_coefficients", "extents must be [k, 1 or 2 spins, orbital, function, 2]")]
     for role in ("energies", "occupations"):
-        out.append(say(s.where(F.size(role) != 3), role, "extents must be [k, spin, orbital]"))
-        out.append(say(s.where((F.size(role) == 3) & (F.col(role) != F.col("dims"))), role, "extents differ from the other members'"))
-    s = s.select(*key, "five", "dims")
+        tests.append((F.size(role) != 3, BAD, role, "extents must be [k, spin, orbital]"))
+        tests.append(((F.size(role) == 3) & (F.col(role) != F.col("dims")), BAD, role, "extents differ from the other members'"))
+    out, s = [say_all(s, *tests)], s.select(*key, "five", "dims")
+    dims, five = F.col("dims"), F.col("five")
     k = corpus.documents((kind, "kpoints")).select(*key, *[_length(d, f"$.{n}").alias(n) for n in ("kpoints", "weights", "labels")]).join(s, key, "left")
-    out.append(say(k.where(F.col("kpoints") != F.col("dims")[0]), "kpoints", "another number of k-points than the members have"))
-    out += [say(k.where(F.col(n) != F.col("kpoints")), "kpoints", f"{n} must have an entry for each k-point") for n in ("weights", "labels")]
+    each = [(F.col(n) != F.col("kpoints"), BAD, "kpoints", f"{n} must have an entry for each k-point") for n in ("weights", "labels")]
+    out.append(say_all(k, (F.col("kpoints") != dims[0], BAD, "kpoints", "another number of k-points than the members have"), *each))
     spins = F.when(string_at(d, "$.spin") == "restricted", 1).when(string_at(d, "$.spin") == "unrestricted", 2)
     m = corpus.documents((kind, "mo_metadata")).select(*key, spins.alias("spins"), *[_whole(d, f"$.{n}").alias(n) for n in ("n_spin", "n_mo", "n_ao")], _length(d, "$.n_mo_per_k").alias("per_k"), F.array_max(_typed(d, "$.n_mo_per_k", "array<double>")).alias("most")).join(s, key, "left")
-    out.append(say(m.where("spins <> n_spin"), "mo_metadata", "n_spin doesn't fit spin"))
-    for name, extent in (("n_spin", F.col("dims")[1]), ("n_mo", F.col("dims")[2]), ("n_ao", F.col("five")[3])):
-        out.append(say(m.where(F.col(name) != extent), "mo_metadata", F.concat(F.lit(f"{name} isn't the members' "), extent)))
-    out.append(say(m.where(F.col("per_k") != F.col("dims")[0]), "mo_metadata", "n_mo_per_k must have an entry for each k-point"))
-    out.append(say(m.where(F.col("most") > F.coalesce(F.col("dims")[2].cast("double"), F.col("n_mo"))), "mo_metadata", "n_mo_per_k exceeds n_mo"))
+    out.append(say_all(
+        m, (F.col("spins") != F.col("n_spin"), BAD, "mo_metadata", "n_spin doesn't fit spin"),
+        *[(F.col(n) != extent, BAD, "mo_metadata", F.concat(F.lit(f"{n} isn't the members' "), extent)) for n, extent in (("n_spin", dims[1]), ("n_mo", dims[2]), ("n_ao", five[3]))],
+        (F.col("per_k") != dims[0], BAD, "mo_metadata", "n_mo_per_k must have an entry for each k-point"),
+        (F.col("most") > F.coalesce(dims[2].cast("double"), F.col("n_mo")), BAD, "mo_metadata", "n_mo_per_k exceeds n_mo"),
+    ))
     b = corpus.documents((kind, "basis")).select(*key, _whole(d, "$.n_ao").alias("n_ao"), string_at(d, "$.structure_ref").alias("inner")).join(s, key, "left")
-    out.append(say(b.where(F.col("n_ao") != F.col("five")[3]), "basis", "n_ao isn't the coefficients'"))
+    out.append(say_all(b, (F.col("n_ao") != five[3], BAD, "basis", "n_ao isn't the coefficients'")))
     own = corpus.sections.where(F.col("kind") == kind).select(*key, kind_at(F.col("value"), "$.structure_ref").isNotNull().alias("has"), string_at(F.col("value"), "$.structure_ref").alias("outer"))
     at = own.join(b.select(*key, "inner", F.lit(True).alias("based")), key, "left")
-    out.append(_say(at.where("not has and based and inner is null"), "E_REF_UNRESOLVED", "basis", "structure_ref must name a structure"))
+    out.append(_say(at.where("not has and based and inner is null"), GONE, "basis", "structure_ref must name a structure"))
     at = at.withColumn("structure", F.expr("if(has, outer, inner)")).join(structures(corpus), ["archive", "structure"])
     flat = ~F.coalesce(F.exists("pbc", lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
     where = F.when(F.col("has"), F.lit("/structure_ref")).otherwise(F.lit("/members/basis"))
-    out.append(finding(at.where(flat), "E_MEMBER_MALFORMED", here(F.col("section"), where), F.concat("structure", F.lit(" has no periodic axis")), F.col("section")))
+    out.append(finding(at.where(flat), BAD, here(F.col("section"), where), F.concat("structure", F.lit(" has no periodic axis")), F.col("section")))
     return _all(out)
 
 
@@ -190,7 +190,7 @@ def _unknown_states(corpus: Corpus, rows: DataFrame) -> DataFrame:
 
 def state_counts(corpus: Corpus) -> DataFrame:
     rows, d = corpus.documents(("excited_states", "states")), F.col("doc")
-    return _say(rows.where(_whole(d, "$.meta.n_states") != _length(d, "$.states")), "E_MEMBER_MALFORMED", "states", "n_states isn't the number of states")
+    return _say(rows.where(_whole(d, "$.meta.n_states") != _length(d, "$.states")), BAD, "states", "n_states isn't the number of states")
 
 
 def state_orbitals(corpus: Corpus) -> DataFrame:
@@ -202,7 +202,7 @@ def state_orbitals(corpus: Corpus) -> DataFrame:
     used = _states(corpus).select("archive", "section", "k", F.explode(terms).alias("c")).join(refs, ["archive", "section"]).join(rows, ["archive", "ref"])
     one, a, b = (F.col(r) for r in COEFFICIENTS)
     n = F.coalesce(one, F.when(F.col("c.spin") == "alpha", a).when(F.col("c.spin") == "beta", b).otherwise(F.least(a, b)))
-    return _all([_say(used.where(~F.col(f"c.{f}").between(F.lit(0), n - 1)), "E_MEMBER_MALFORMED", "states", F.concat(F.lit(f"{f} isn't an orbital of the wavefunction: state "), "k")) for f in ("from_mo", "to_mo")])
+    return say_all(used, *[(~F.col(f"c.{f}").between(F.lit(0), n - 1), BAD, "states", F.concat(F.lit(f"{f} isn't an orbital of the wavefunction: state "), "k")) for f in ("from_mo", "to_mo")])
 
 
 def state_references(corpus: Corpus) -> DataFrame:
@@ -211,12 +211,12 @@ def state_references(corpus: Corpus) -> DataFrame:
     for field, kinds in STATE_REFS.items():
         rows = states.where(F.map_contains_key("state", field)).select("archive", "section", "k", F.col("state")[field].alias("ref"))
         named = corpus.named.where(F.col("_kind").isin(*kinds)).select(F.col("_a").alias("archive"), F.col("_id").alias("ref"))
-        out.append(_say(rows.join(named, ["archive", "ref"], "left_anti"), "E_REF_UNRESOLVED", "states", F.concat(F.lit(f"{field} doesn't resolve: state "), "k")))
+        out.append(_say(rows.join(named, ["archive", "ref"], "left_anti"), GONE, "states", F.concat(F.lit(f"{field} doesn't resolve: state "), "k")))
     peaks = corpus.documents(*((k, "spectrum") for k in catalog.SPECTRA)).select("archive", "section", string_at(F.col("doc"), "$.states_ref").alias("ref"), F.explode(_typed(F.col("doc"), "$.peaks", "array<struct<assignment:struct<state_index:bigint>>>")).alias("p"))
     peaks = peaks.select("archive", "section", "ref", F.col("p.assignment.state_index").cast("double").alias("index")).where("ref is not null and index is not null")
-    out.append(_say(_unknown_states(corpus, peaks), "E_REF_UNRESOLVED", "spectrum", "a peak is assigned to no state of states_ref"))
+    out.append(_say(_unknown_states(corpus, peaks), GONE, "spectrum", "a peak is assigned to no state of states_ref"))
     dens = corpus.sections.where("kind = 'volume.transition_density'").select("archive", "section", string_at(v, "$.excited_states_ref").alias("ref"), _whole(v, "$.state_index").alias("index")).where("ref is not null and index is not null")
-    out.append(finding(_unknown_states(corpus, dens), "E_REF_UNRESOLVED", here(F.col("section"), "/state_index"), F.lit("no such state of excited_states_ref"), F.col("section")))
+    out.append(finding(_unknown_states(corpus, dens), GONE, here(F.col("section"), "/state_index"), F.lit("no such state of excited_states_ref"), F.col("section")))
     return _all(out)
 
 
@@ -234,12 +234,12 @@ def _ntos(corpus: Corpus) -> DataFrame:
 
 def nto_rows(corpus: Corpus) -> DataFrame:
     """Unrestricted NTOs have coefficients of each spin, and metadata for each of their rows."""
-    rows, out = _ntos(corpus).where("sided and spin = 'unrestricted'"), []
+    tests = []
     for c in CHANNELS:
-        out.append(_say(rows.where(f"has_{c} and rows_{c} is null"), "E_MEMBER_MALFORMED", "mo_metadata", f"mo_coefficients_{c} is missing"))
         off = F.exists(f"stated_{c}", lambda n: F.coalesce(n != F.col(f"rows_{c}"), F.lit(False)))
-        out.append(_say(rows.where(off), "E_MEMBER_MALFORMED", "mo_metadata", f"{c} must have an entry for each row of its coefficients"))
-    return _all(out)
+        tests.append((F.expr(f"has_{c} and rows_{c} is null"), BAD, "mo_metadata", f"mo_coefficients_{c} is missing"))
+        tests.append((off, BAD, "mo_metadata", f"{c} must have an entry for each row of its coefficients"))
+    return say_all(_ntos(corpus).where("sided and spin = 'unrestricted'"), *tests)
 
 
 def nto_pairs(corpus: Corpus) -> DataFrame:
@@ -249,19 +249,17 @@ def nto_pairs(corpus: Corpus) -> DataFrame:
     fields = ["spin", *(f"{x}_{c}" for x in ("rows", "weights") for c in CHANNELS)]
     partner = every.where("side in ('hole', 'particle')").groupBy("archive", "ref", "index", F.expr("if(side = 'hole', 'particle', 'hole')").alias("side")).agg(F.count("*").alias("partners"), F.first(F.struct(*fields)).alias("o"))
     both = rows.join(partner, ["archive", "ref", "index", "side"], "left")
-    single = both.where("partners = 1")
     named = corpus.named.where("_kind = 'excited_states'").select(F.col("_a").alias("archive"), F.col("_id").alias("ref"))
     gone = rows.join(named, ["archive", "ref"], "left_anti").select("archive", "section").union(_unknown_states(corpus, rows.join(named, ["archive", "ref"], "left_semi")).select("archive", "section"))
-    out = [
-        _say(gone, "E_REF_UNRESOLVED", "mo_metadata", "state_ref and state_index name no excited state"),
-        _say(both.where("coalesce(partners, 0) <> 1"), "E_REF_UNRESOLVED", "mo_metadata", F.concat(F.lit("sections of the opposite role for this state: "), F.coalesce("partners", F.lit(0)))),
-        _say(single.where("coalesce(o.spin, '') <> 'unrestricted'"), "E_MEMBER_MALFORMED", "mo_metadata", "the partner has another spin layout"),
+    tests = [
+        (F.expr("coalesce(partners, 0) <> 1"), GONE, "mo_metadata", F.concat(F.lit("sections of the opposite role for this state: "), F.coalesce("partners", F.lit(0)))),
+        (F.expr("partners = 1 and coalesce(o.spin, '') <> 'unrestricted'"), BAD, "mo_metadata", "the partner has another spin layout"),
     ]
-    same = single.where("o.spin = 'unrestricted'")
+    same = F.expr("partners = 1 and o.spin = 'unrestricted'")
     for c in CHANNELS:
-        out.append(_say(same.where(f"rows_{c} <> o.rows_{c}"), "E_MEMBER_MALFORMED", "mo_metadata", f"the partner has another number of {c} rows"))
-        out.append(_say(same.where(f"weights_{c} <> o.weights_{c}"), "E_MEMBER_MALFORMED", "mo_metadata", f"the partner has other {c} weights"))
-    return _all(out)
+        tests.append((same & F.expr(f"rows_{c} <> o.rows_{c}"), BAD, "mo_metadata", f"the partner has another number of {c} rows"))
+        tests.append((same & F.expr(f"weights_{c} <> o.weights_{c}"), BAD, "mo_metadata", f"the partner has other {c} weights"))
+    return say_all(both, *tests).union(_say(gone, GONE, "mo_metadata", "state_ref and state_index name no excited state"))
 
 
 RULES = {

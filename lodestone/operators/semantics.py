@@ -33,6 +33,13 @@ def _say(rows: DataFrame, code: str, role: str | Column, message: str | Column)
     return finding(rows, code, here(F.col("section"), "/members/", role), message, F.col("section"))
 
 
+def say_all(rows: DataFrame, *tests: tuple[Column, str, str, str | Column]) -> DataFrame:
+    """Findings of several tests (condition, code, role, message) in one pass over the rows, however many there are."""
+    said = [F.when(c, F.struct(F.lit(code).alias("code"), F.lit(role).alias("role"), (F.lit(m) if isinstance(m, str) else m.cast("string")).alias("text"))) for c, code, role, m in tests]
+    found = rows.select("archive", "section", F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("said"))
+    return finding(found, F.col("said.code"), here(F.col("section"), "/members/", F.col("said.role")), F.col("said.text"), F.col("section"))
+
+
 def shapes(corpus: Corpus, kinds: tuple[str, ...], roles: tuple[str, ...]) -> DataFrame:
     """(archive, section, section_id, kind, a column for each role): extents of the members, null where not well formed."""
     formed = F.col("shape").rlike(r"^\[(\d+(, ?\d+)*)?\]$")
